@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from . import common
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op2_quality(spark, sf_dir):
+    from . import quality
+    from .toxicity import labelled
+
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled(common.table(spark, sf_dir, "labels"), "quality", common.crc_mod("doc_id", 4) != 2, quality.TRAIN_DOCS)
+    vectors = quality.word_vectors(docs)
+    scored = quality.score(docs, quality.fit(docs, sample, vectors), vectors, keep=["doc_id"])
+    return scored.select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
@@ -15,6 +30,16 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = toxicity.labelled(common.table(spark, sf_dir, "labels"), "toxic", common.crc_mod("doc_id", 5) != 0, toxicity.TRAIN_DOCS)
+    scored = toxicity.score(docs, toxicity.fit(docs, sample), keep=["doc_id"])
+    return scored.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     from .packing import pack, pieces
 
@@ -23,6 +48,23 @@ def op6_best_fit_packing(spark, sf_dir):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), True, 2))
 
 
+def op7_language_id(spark, sf_dir):
+    from . import language_id
+
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(common.crc_mod("doc_id", 4) != 2))
+    predicted = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return predicted.select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_url_filter(spark, sf_dir):
+    from .url_filter import joined_outcomes, judge
+
+    outcomes = joined_outcomes(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "labels"))
+    return judge(outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_token_store(spark, sf_dir):
     from .token_store import read_tokens, write_tokens
 
@@ -33,7 +75,14 @@ def op9_token_store(spark, sf_dir):
     return read_tokens(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_best_fit_packing, op9_token_store)}
+def op10_ngram_join(spark, sf_dir):
+    from .ngram_join import ngram_join
+
+    common.small_batches(spark)
+    return ngram_join(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op5_toxicity, op6_best_fit_packing, op7_language_id, op8_url_filter, op9_token_store, op10_ngram_join)}
 
 OP3_SQL = r"""
 WITH t AS (
@@ -42,4 +91,47 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+OP8_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), labelled AS (
+  SELECT p.*, q.good FROM parts p LEFT JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q
+    ON q.doc_id = try_cast(regexp_extract(path, '(\d+)(?:\.html)?/?$', 1) AS bigint)
+), hosts AS (
+  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good, string_split(host, '.') AS l FROM labelled GROUP BY host
+), named AS (
+  SELECT host, n, good, l[-1] AS last1, CASE WHEN len(l) > 1 THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS last2,
+         CASE WHEN len(l) > 2 THEN l[-3] || '.' || l[-2] || '.' || l[-1] WHEN len(l) > 1 THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS last3 FROM hosts
+), h AS (
+  SELECT host, n, good, CASE WHEN last2 IN (TWO) THEN last2 ELSE last1 END AS suffix, CASE WHEN last2 IN (TWO) THEN last3 ELSE last2 END AS domain FROM named
+), t AS (
+  SELECT coalesce(sum(n), 0)::double AS tn, coalesce(sum(good), 0)::double AS tg, CASE WHEN tn > 0 THEN tg / tn ELSE 0.5 END AS m FROM h
+), d AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY domain),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY suffix),
+moments AS (
+  SELECT 'h' AS level, count(*)::double AS g, sum(good * good / n::double) AS s, sum(n * n)::double AS nn FROM h WHERE n > 0
+  UNION ALL SELECT 'd', count(*), sum(good * good / n::double), sum(n * n) FROM d WHERE n > 0
+  UNION ALL SELECT 's', count(*), sum(good * good / n::double), sum(n * n) FROM s WHERE n > 0
+), rhos AS (
+  SELECT level, tn, CASE WHEN m * (1 - m) * (tn - nn / tn - (g - 1)) <> 0
+         THEN (s - tg * tg / tn - m * (1 - m) * (g - 1)) / (m * (1 - m) * (tn - nn / tn - (g - 1))) END AS rho FROM moments, t
+), ks AS (SELECT level, CASE WHEN tn > 0 THEN CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1.0), 1000.0) ELSE 1000.0 END ELSE 1.0 END AS k FROM rhos),
+sm AS (SELECT suffix, (good + k * m) / (n + k) AS mean FROM s, t, ks WHERE level = 's'),
+dm AS (SELECT domain, (d.good + k * sm.mean) / (d.n + k) AS mean FROM d JOIN sm USING (suffix), ks WHERE level = 'd'),
+hm AS (SELECT host, (h.good + k * dm.mean) / (h.n + k) AS mean, h.n + k AS size FROM h JOIN dm USING (domain), ks WHERE level = 'h'),
+judged AS (
+  SELECT page_id, host, path, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) >= 0.5 THEN 'allow' ELSE 'block' END AS method,
+    CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM labelled JOIN hm USING (host)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE method END AS verdict FROM judged
+""".replace("TWO", "'co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in'").replace("\\\\", "\\")
+
+ORACLES = {"op8_url_filter": OP8_SQL, "op3_exact_dedup": OP3_SQL}
