@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of long texts holds in a Python worker."""
+    """Bound what one Arrow batch of long texts holds in a Python worker, and let workers
+    import this package wherever the driver runs."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

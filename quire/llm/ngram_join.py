@@ -157,7 +157,8 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         cells = cells[order]
         more = np.zeros(len(cells), bool)
         same = cells[1:] == cells[:-1]
-        more[1:], more[:-1] = same, same | more[:-1]
+        more[1:] = same
+        more[:-1] |= same
         cells, keys = cells[more], keys[order][more]
         order = np.lexsort((keys, cells))
         cells, keys = cells[order], keys[order]
