@@ -1,11 +1,12 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text is the set of its hashed words, word pairs and pairs with one word between. Each
-coordinate has a learning rate of its own and L1 keeps most weights at zero, so what is
-broadcast is a short list of indices and weights.
+A text is the set of its words, word pairs and pairs with one word between, as 32-bit
+hashes. Each coordinate has a learning rate of its own and L1 keeps most weights at zero,
+so what is broadcast is a short sorted list of hashes and weights.
 
 The classifier is fitted on the driver on at most TRAIN_DOCS labelled rows, those whose
-id has the smallest hash. Scoring covers all rows and whole texts.
+id has the smallest hash, over the hashes that at least MIN_DOCS of them have. Scoring
+covers all rows and whole texts.
 
 Defined results: null and empty texts get the score of the bias alone; a label that is
 null is not learned; of labels that repeat an id the largest counts; with no labels at
@@ -21,9 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 16_000
-BITS = 20
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 2.0, 1.0, 3
+TRAIN_DOCS, MIN_DOCS = 12_000, 3
+ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 8.0, 1.0, 10
 CACHE_WORDS = 300_000
 #: Odd multipliers of the hashes of one word, the second word of a pair, and of a skip pair.
 _ONE, _TWO, _SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -32,8 +32,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 class Features:
-    def __init__(self, bits: int = BITS):
-        self.shift = np.uint64(64 - bits)
+    def __init__(self):
         self.cache: dict[str, int] = {}
 
     def _hash(self, word: str) -> int:
@@ -45,7 +44,7 @@ class Features:
         return x
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct feature indices."""
+        """Sorted distinct hashes."""
         get, new = self.cache.get, self._hash
         h = np.array([get(w) or new(w) for w in _WORD.findall((text or "").lower())], dtype=np.uint64)
         with np.errstate(over="ignore"):
@@ -53,7 +52,7 @@ class Features:
             mixed = np.concatenate(parts)
             mixed ^= mixed >> np.uint64(32)
             mixed *= _ONE
-        return np.unique((mixed >> self.shift).astype(np.int32))
+        return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
 
 
 class Ftrl:
@@ -83,27 +82,42 @@ def labelled(labels: DataFrame, label: str, fold, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """sample: doc_id, label, bounded. Indices and weights, the bias at index 2 ** bits."""
+def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where the known ones of found are in known; both sorted."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(known, found)
+    at[at == len(known)] = 0
+    return at[known[at] == found]
+
+
+def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """sample: doc_id, label, bounded. Sorted hashes, their weights, and the bias."""
 
     def features(frames):
-        of = Features(bits)
+        of = Features()
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "at": [of(x).tobytes() for x in frame["text"]]})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows of two numbers
     rows = joined.mapInPandas(features, "doc_id long, label int, at binary").toPandas()
-    rows = rows.iloc[np.lexsort((rows["doc_id"], rows["doc_id"].map(lambda x: x * 0x9E3779B1 % 2**32)))] if len(rows) else rows
-    model, examples = Ftrl(2**bits), [(np.frombuffer(a, np.int32), y) for a, y in zip(rows["at"], rows["label"], strict=True)]
+    if not len(rows):
+        return np.zeros(0, np.uint32), np.zeros(0), 0.0
+    rows = rows.iloc[np.argsort(((rows["doc_id"].to_numpy() * 0x9E3779B1) % 2**32), kind="stable")]  # an order that does not hang on partitions
+    found = [np.frombuffer(x, np.uint32) for x in rows["at"]]
+    known, docs_with = np.unique(np.concatenate(found), return_counts=True)
+    known = known[docs_with >= MIN_DOCS]
+    examples = [(_places(known, x), y) for x, y in zip(found, rows["label"], strict=True)]
+    model = Ftrl(len(known))
     for _ in range(EPOCHS):
         for at, label in examples:
             model.learn(at, label)
     every = model.weights(slice(None))
-    kept = np.flatnonzero(every)
-    return kept.astype(np.int32), every[kept]
+    kept = np.flatnonzero(every[:-1])
+    return known[kept], every[kept], float(every[-1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score to the columns named in keep (default: all)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
@@ -112,10 +126,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     def run(batches):
         import pyarrow as pa
 
-        of, w = Features(bits), np.zeros(2**bits + 1)
-        w[shared.value[0]] = shared.value[1]
+        of, (known, weights, bias) = Features(), shared.value
         for batch in batches:
-            sums = np.array([w[of(x)].sum() for x in batch.column(batch.num_columns - 1).to_pylist()]) + w[-1]
+            sums = np.array([weights[_places(known, of(x))].sum() for x in batch.column(batch.num_columns - 1).to_pylist()]) + bias
             got = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(got, pa.float64())], names=[*columns, "score"])
 
