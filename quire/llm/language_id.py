@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PER_LANG = 3_000
+TRAIN_PER_LANG = 1_000
 MAX_WORDS, MAX_GRAMS = 100_000, 150_000
 LONGEST = 5
 #: Words a worker keeps scored.
