@@ -31,6 +31,13 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    from .ann import search
+
+    common.small_batches(spark, 5000)
+    return search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_toxicity(spark, sf_dir):
     from . import toxicity
 
@@ -83,7 +90,7 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op5_toxicity, op6_best_fit_packing, op7_language_id, op8_url_filter, op9_token_store, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_nearest_neighbours, op5_toxicity, op6_best_fit_packing, op7_language_id, op8_url_filter, op9_token_store, op10_ngram_join)}
 
 OP3_SQL = r"""
 WITH t AS (
