@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 TRAIN_PER_LANG = 1_000
 MAX_WORDS, MAX_GRAMS = 100_000, 150_000
 LONGEST = 5
@@ -106,20 +108,19 @@ def fit(train: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     share = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, per_lang / n))]) if found else F.lit(None)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     sample = train.where(draw < share[F.col("lang")]) if found else train.limit(0)
-    counts = sample.select("lang", "text").mapInPandas(_counts, "kind int, lang string, item string, n long")
-    items = counts.groupBy("kind", "item").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
-    kept = [items.where(F.col("kind") == 0).where("n > 1").orderBy(F.desc("n"), "item").limit(MAX_WORDS), items.where("kind > 0 and n > 1").orderBy(F.desc("n"), "kind", "item").limit(MAX_GRAMS)]
-    totals = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(found)
-    column = {lang: k for k, lang in enumerate(langs)}
-    base = {kind: np.array([np.log(0.5 / (totals.get((kind, lang), 0) + 1)) for lang in langs]) for kind in range(LONGEST + 1)}
+    kinds = "kind int, lang string, item string, n long"
+    counts = common.written(sample.select("lang", "text").mapInPandas(_counts, kinds), "language-counts")
+    per_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
+    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), *per_lang).where("n > 1")
+    totals = counts.groupBy("kind").agg(F.count(F.lit(1)), *per_lang).toPandas().set_index("kind")
     known = {}
-    for part in kept:
-        for r in part.collect():  # bounded by MAX_WORDS and MAX_GRAMS
-            row = base[r["kind"]].copy()
-            for lang, n in {x["lang"]: sum(y["n"] for y in r["by"] if y["lang"] == x["lang"]) for x in r["by"]}.items():
-                row[column[lang]] += np.log(1 + 2 * n)
-            known[r["kind"], r["item"]] = row
+    for kept in (items.where("kind = 0").orderBy(F.desc("n"), "item").limit(MAX_WORDS), items.where("kind > 0").orderBy(F.desc("n"), "kind", "item").limit(MAX_GRAMS)):
+        part = kept.toPandas()  # bounded by MAX_WORDS and MAX_GRAMS
+        if len(part):
+            sizes = totals.loc[part["kind"], [f"n{k}" for k in range(len(langs))]].to_numpy()
+            rows = np.log((part[[f"n{k}" for k in range(len(langs))]].to_numpy() + 0.5) / (sizes + 1))
+            known |= dict(zip(zip(part["kind"], part["item"], strict=True), rows, strict=True))
     return Model(langs, known)
 
 
