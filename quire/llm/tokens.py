@@ -3,7 +3,8 @@
 A text is cut where every supported pre-tokenizer has a boundary anyway: in front of a
 run of white space (the run stays with the chunk after it for byte-level models) or at
 white space (models that drop it). The ids of a text are then the ids of its chunks in
-order, and a bounded cache keeps the ids of chunks that come again.
+order. A cache of two generations keeps the ids of chunks that come again: when the young
+one is full it becomes the old one, and what is still used moves on.
 """
 
 from __future__ import annotations
@@ -17,46 +18,88 @@ import numpy as np
 WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _GLUED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _DROPPED = re.compile(f"[^{WHITE}]+")
+#: Texts with other characters take the slow way: up to U+024F, composing and lower-casing
+#: are the same in Python and in the library, and str.split() knows the same white space.
+_ODD = re.compile("[^\x00-\x1b\x20-ɏ]")
+#: White space other than single spaces and single line ends.
+_RUNS = re.compile("  | \n|\n\n|[" + WHITE.replace(" ", "").replace("\n", "") + "]")
 
-CACHE_CHUNKS = 400_000
-CACHE_CHARS = 8_000_000
+#: Chunks of a generation, and their characters.
+CACHE_CHUNKS, CACHE_CHARS = 500_000, 8_000_000
 GROUP_CHARS = 1_000_000
 
 
-class ChunkEncoder:
-    """keeps_space: white space belongs to tokens (byte-level) or is dropped (word-level)."""
+class _Glued:
+    """White space belongs to the chunk after it. Keys: "word" is " word", "\nword" itself,
+    "\rword" is "word" at the start of a text, "\r\rchunk" is any chunk."""
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        if _RUNS.search(text):
+            return ["\r\r" + x for x in _GLUED.findall(text)]
+        return ("\r" + text.replace("\n", " \n")).split(" ")
+
+    @staticmethod
+    def chunk(key: str) -> str:
+        if key[:1] == "\r":
+            return key.lstrip("\r") if key[:2] != "\r\r" else key[2:]
+        return key if key[:1] == "\n" else " " + key
+
+
+class _Dropped:
+    """White space is dropped and case is folded. A key is its chunk."""
 
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        return _DROPPED.findall(text) if _ODD.search(text) else text.lower().split()
+
+    @staticmethod
+    def chunk(key: str) -> str:
+        return key
+
+
+class ChunkEncoder:
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = (_GLUED if keeps_space else _DROPPED).findall
-        self.cache: dict[str, bytes] = {}
+        self.way = _Glued if keeps_space else _Dropped
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.chars = 0
 
-    def _learn(self, need: list[str]) -> None:
-        for k in range(0, len(need), 20_000):
-            part = need[k : k + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+    def _learn(self, need: set[str]) -> None:
         self.chars += sum(map(len, need))
+        old, new = self.old, []
+        for key in need:
+            if (ids := old.get(key)) is None:
+                new.append(key)
+            else:
+                self.young[key] = ids
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
+            for key, e in zip(part, self.tokenizer.encode_batch_fast(list(map(self.way.chunk, part)), add_special_tokens=False), strict=True):
+                self.young[key] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """ids of each text, little-endian unsigned 32-bit, end_id last."""
         end, out, k = np.array([end_id], dtype="<u4").tobytes(), [], 0
         while k < len(texts):
-            group, chars = [], 0
-            while k < len(texts) and (not group or chars < GROUP_CHARS):
-                group.append(self.find(texts[k]))
+            keys, found, chars, get = [], [], 0, self.young.get
+            while k < len(texts) and (not keys or chars < GROUP_CHARS):
+                keys.append(self.way.keys(texts[k]))
+                found.append(list(map(get, keys[-1])))
                 chars += len(texts[k])
                 k += 1
-            if len(self.cache) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
-                self.cache, self.chars = {}, 0
-            if need := {c for chunks in group for c in chunks if c not in self.cache}:
-                self._learn(list(need))
-            get = self.cache.__getitem__
-            out += [np.frombuffer(b"".join(map(get, chunks)) + end, dtype="<u4") for chunks in group]
+            need = {key for own, ids in zip(keys, found, strict=True) if None in ids for key, x in zip(own, ids, strict=True) if x is None}
+            if len(self.young) + len(need) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+                self.old, self.young, self.chars = self.young, {}, 0
+            self._learn(need)
+            for own, ids in zip(keys, found, strict=True):
+                if None in ids:
+                    ids = [self.young[key] if x is None else x for key, x in zip(own, ids, strict=True)]
+                out.append(np.frombuffer(b"".join(ids) + end, dtype="<u4"))
         return out
 
 
