@@ -124,10 +124,10 @@ def fit(train: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     return Model(langs, known)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the columns named in keep (default: all)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score, under these names, to the columns in keep (default: all)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.known))
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+    columns = docs.columns if keep is None else keep
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def score(frames):
@@ -137,6 +137,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         for batch in frames:
             got = [own.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*columns, *names])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(score, f"{kinds}, lang_pred string, score double")
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(score, f"{kinds}, `{names[0]}` string, `{names[1]}` double")

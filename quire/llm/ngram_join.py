@@ -93,21 +93,21 @@ def _identity(s: np.ndarray) -> tuple[bytes, int]:
 
 
 def classes_of(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, key, digest per row."""
+    """doc_id, row_id (the row's place), n_shingles, key, digest per row."""
 
     def run(batches):
         of = Shingles(words)
         for batch in batches:
             rows = []
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
+            for i, at, t in zip(batch["doc_id"], batch["row_id"], batch["text"], strict=True):
                 s = of(t)
                 digest, key = _identity(s)
-                rows.append((i, len(s), key, digest))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key", "digest"])
+                rows.append((i, at, len(s), key, digest))
+            out = pd.DataFrame(rows, columns=["doc_id", "row_id", "n_shingles", "key", "digest"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_shingles long, key long, digest binary")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text).cast("string").alias("text"))
+    return slim.mapInPandas(run, "doc_id long, row_id long, n_shingles long, key long, digest binary")
 
 
 def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> DataFrame:
@@ -317,14 +317,16 @@ def links_of(docs: DataFrame, rows: DataFrame, text: str = "text", words: int =
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, group_cells: int = GROUP_CELLS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links (other sets it links with)."""
+    """One row per input row: doc_id, n_shingles, component_id, n_links (other sets it links
+    with), row_id (its place in docs), kept (it is its component's row with the smallest id)."""
     rows = common.written(classes_of(docs, doc_id, text, words), "classes")
     linked = links_of(docs, rows, text, words, percent, group_cells)
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.first("key").alias("key"), F.min("doc_id").alias("first_id")).join(linked, "key", "left")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    classes = full.groupBy("digest").agg(F.first("key").alias("key"), F.min(place).alias("first")).join(linked, "key", "left")
     label = F.coalesce("label", "key")
-    smallest = classes.groupBy(label.alias("label")).agg(F.min("first_id").alias("component_id"))
+    smallest = classes.groupBy(label.alias("label")).agg(F.min("first").alias("first"))
     of_class = classes.select("digest", label.alias("label"), F.coalesce("links", F.lit(0)).alias("n_links")).join(smallest, "label").drop("label")
-    some = full.join(of_class, "digest").select("doc_id", "n_shingles", "component_id", "n_links")
-    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    some = full.join(of_class, "digest").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "n_links", "row_id", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
+    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "row_id", F.lit(True).alias("kept"))
     return some.unionByName(none)

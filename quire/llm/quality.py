@@ -178,10 +178,10 @@ def fit(docs: DataFrame, sample: DataFrame, vectors: np.ndarray) -> Network:
     return Network().fit(x, rows["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, network: Network, vectors: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score to the columns named in keep (default: all)."""
+def score(docs: DataFrame, network: Network, vectors: np.ndarray, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Adds the score, under this name, to the columns in keep (default: all)."""
     shared = docs.sparkSession.sparkContext.broadcast((network, vectors))
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+    columns = docs.columns if keep is None else keep
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def run(batches):
@@ -190,6 +190,6 @@ def score(docs: DataFrame, network: Network, vectors: np.ndarray, text: str = "t
         of, (net, v) = Buckets(), shared.value
         for batch in batches:
             x = np.array([pooled(of, v, t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, 2 * WIDTH)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(net.scores(x), pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(net.scores(x), pa.float64())], names=[*columns, name])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, `{name}` double")

@@ -11,6 +11,13 @@ from . import common
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_sentencepiece(spark, sf_dir):
+    from .sentencepiece_codec import round_trip
+
+    common.small_batches(spark)
+    return round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_quality(spark, sf_dir):
     from . import quality
     from .toxicity import labelled
@@ -87,10 +94,10 @@ def op10_ngram_join(spark, sf_dir):
     from .ngram_join import ngram_join
 
     common.small_batches(spark)
-    return ngram_join(common.table(spark, sf_dir, "documents"))
+    return ngram_join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_nearest_neighbours, op5_toxicity, op6_best_fit_packing, op7_language_id, op8_url_filter, op9_token_store, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_exact_dedup, op4_nearest_neighbours, op5_toxicity, op6_best_fit_packing, op7_language_id, op8_url_filter, op9_token_store, op10_ngram_join)}
 
 OP3_SQL = r"""
 WITH t AS (

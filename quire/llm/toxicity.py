@@ -117,10 +117,10 @@ def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     return known[kept], every[kept], float(every[-1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score to the columns named in keep (default: all)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Adds the score, under this name, to the columns in keep (default: all)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+    columns = docs.columns if keep is None else keep
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def run(batches):
@@ -130,6 +130,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         for batch in batches:
             sums = np.array([weights[_places(known, of(x))].sum() for x in batch.column(batch.num_columns - 1).to_pylist()]) + bias
             got = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(got, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(got, pa.float64())], names=[*columns, name])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, `{name}` double")
