@@ -1,4 +1,69 @@
-"""placeholder"""
+"""The corpus pipeline: five stages over documents, each written as Parquet for the next.
+
+A stage keeps the columns of documents (the last returns pieces placed in sequences).
+Rows are told apart by their place in the table that a stage reads, so null and repeated
+ids are handled as in the operators: language ID keeps a row unless its language is
+undetermined or uncertain, toxicity unless its score reaches 0.5, exact dedup and the
+n-gram join keep the first row of a group, packing places every piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import common, exact_dedup, language_id, ngram_join, packing, toxicity
+
+CERTAIN, TOXIC = 0.5, 0.5
+
+
+def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Rows of docs whose place judged keeps. docs is a table that was written, so its rows
+    have the same places whenever it is read."""
+    places = judged.where("kept").select(F.col("row_id").alias("_place"))
+    return docs.withColumn("_place", F.monotonically_increasing_id()).join(places, "_place", "left_semi").select(*docs.columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    scored = language_id.predict(docs, model, names=("_lang", "_certain"))
+    return scored.where((F.col("_lang") != "und") & (F.col("_certain") >= CERTAIN)).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    sample = toxicity.labelled(common.table(spark, sf_dir, "labels"), "toxic", F.lit(True), toxicity.TRAIN_DOCS)
+    scored = toxicity.score(docs, toxicity.fit(docs, sample), name="_toxic")
+    return scored.where(F.col("_toxic") < TOXIC).select(*docs.columns)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return _kept(docs, exact_dedup.exact_dedup(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return _kept(docs, ngram_join.ngram_join(docs))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), True, 2))
+
+
+STAGES = [("language_id", languages), ("toxicity", toxic), ("exact_dedup", copies), ("ngram_join", near_copies), ("best_fit_packing", sequences)]
+
+#: Classifiers, tokenizers and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, out, sf_dir)
+        if k + 1 < len(STAGES):
+            out = common.written(out, f"stage-{name}")
+    return out
