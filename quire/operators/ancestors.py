@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import written
+
 #: Rounds of doubling; chains of up to 2 ** ROUNDS parents are walked.
 ROUNDS = 6
 
@@ -14,7 +16,7 @@ def nearest(nodes: DataFrame, node: str, parent: str, defines: str, doc: list[st
 
     Pointer doubling: each round a node without an answer takes its pointer's answer, or
     its pointer's pointer, so a chain of n parents takes log2(n) equi-joins, none of which
-    grows. A chain that comes back to itself or leaves the table has no answer.
+    grows; each round is written, as the next reads it twice. A chain that comes back to itself or leaves the table has no answer.
     """
     has = F.coalesce(F.col(defines), F.lit(False))
     state = nodes.select(*doc, F.col(node).alias("_n"), F.when(has, F.col(node)).alias("_found"), F.when(~has, F.col(parent)).alias("_ptr"), F.when(has, 0).otherwise(1).alias("_d"))
@@ -22,5 +24,7 @@ def nearest(nodes: DataFrame, node: str, parent: str, defines: str, doc: list[st
         up = state.select(*doc, F.col("_n").alias("_ptr"), F.col("_found").alias("_f2"), F.col("_ptr").alias("_p2"), F.col("_d").alias("_d2"))
         joined = state.join(up, [*doc, "_ptr"], "left")
         open_ = F.col("_found").isNull() & F.col("_ptr").isNotNull()
-        state = joined.select(*doc, "_n", F.coalesce("_found", F.when(open_, F.col("_f2"))).alias("_found"), F.when(open_, F.col("_p2")).alias("_ptr"), F.when(open_, F.col("_d") + F.coalesce("_d2", F.lit(0))).otherwise(F.col("_d")).alias("_d"))
+        state = written(joined.select(*doc, "_n", F.coalesce("_found", F.when(open_, F.col("_f2"))).alias("_found"), F.when(open_, F.col("_p2")).alias("_ptr"), F.when(open_, F.col("_d") + F.coalesce("_d2", F.lit(0))).otherwise(F.col("_d")).alias("_d")), "ancestors")
+        if not state.where("_found is null and _ptr is not null").limit(1).count():
+            break
     return state.select(*doc, F.col("_n").alias(node), F.col("_found").alias("found"), F.when(F.col("_found").isNotNull(), F.col("_d")).alias("depth"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import numbers as N
 from quire.functions import text as T
 from quire.operators import ancestors, sequences
+from quire.sources import packages
 
 QUERIES, ORACLES = {}, {}
 
@@ -279,3 +280,40 @@ def notes_order(spark, sf_dir):
 def ordered_dedup(spark, sf_dir):
     e = _read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
     return sequences.first_occurrences(e, ["user_id"], ["event_type"], ["ts"]).select("user_id", "event_type", "event_id")
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packages.from_texts(_read(spark, sf_dir, "documents"))
+
+
+@_query(f"SELECT * FROM {_BLOCKS}")
+def docx_roundtrip(spark, sf_dir):
+    return packages.blocks(_packages(spark, sf_dir)).select("doc_id", "block_seq", "text")
+
+
+@_query(f"SELECT doc_id, 1 AS heading_level, block_seq, text FROM {_BLOCKS} WHERE block_seq = 0 AND strlen(text) <= 60")
+def document_outline(spark, sf_dir):
+    return packages.blocks(_packages(spark, sf_dir)).where("heading_level > 0").select("doc_id", "heading_level", "block_seq", "text")
+
+
+@_query(rf"""
+SELECT doc_id, '<words xmlns="urn:words:v1" xmlns:s="urn:words:v1:style" version="1.2.0" mode="lossless" fidelity="verbatim" policy="preserve-and-flag">' || chr(10) ||
+  '  <style unit="in">' || chr(10) || '    <s:custom name="heading 1" type="paragraph"/>' || chr(10) || '  </style>' || chr(10) || '  <write>' || chr(10) ||
+  string_agg('    <' || tag || CASE WHEN block_seq = 0 AND tag = 'p' THEN ' c="heading 1"' ELSE '' END || '>' || escaped || '</' || tag || '>' || chr(10), '' ORDER BY block_seq) ||
+  '  </write>' || chr(10) || '</words>' || chr(10) AS words_xml
+FROM (SELECT doc_id, block_seq, CASE WHEN block_seq = 0 AND strlen(text) <= 60 THEN 'h1' ELSE 'p' END AS tag,
+  replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM {_BLOCKS}) GROUP BY doc_id
+""".replace("    <s:custom name=\"heading 1\" type=\"paragraph\"/>' || chr(10) || '", ""))
+def words_render(spark, sf_dir):
+    return packages.rendered(_packages(spark, sf_dir), "lossless").select("doc_id", "words_xml")
+
+
+@_query("SELECT doc_id, true AS valid, CAST(0 AS INT) AS n_errors, CAST(0 AS INT) AS n_warns FROM documents")
+def words_verify(spark, sf_dir):
+    checked = packages.verified(packages.rendered(_packages(spark, sf_dir)))
+    return checked.select("doc_id", "valid", F.size("errors").alias("n_errors"), F.size("warns").alias("n_warns"))
+
+
+@_query("SELECT doc_id, 'Heading1' AS style_id, 'heading 1' AS name, 1 AS heading_level FROM documents")
+def style_table(spark, sf_dir):
+    return packages.styles(_packages(spark, sf_dir)).select("doc_id", "style_id", "name", "heading_level")
