@@ -1,16 +1,13 @@
-"""Shared helpers: shared scratch folder, written tables, session settings."""
+"""Shared helpers: tables, session settings, folds."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, a laptop).
-FALLBACK_DIR = "file:///tmp/checkpoints"
+from quire.sources.scratch import scratch, shared_root, written  # noqa: F401  one place for them all
 
 #: ASCII white space as Java, RE2 and Python regexes all write it.
 ASCII_WS = r"[\x20\x09-\x0D]+"
@@ -20,41 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share, one per application, removed at exit."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", FALLBACK_DIR)
-    root = f"{base.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
-    if root not in _cleaned:
-        _cleaned.add(root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-_cleaned: set[str] = set()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended first; the folder is scratch
-        pass
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the
-    lineage, and a lost executor costs no recomputation of what is written."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of long texts holds in a Python worker, and let workers
     import this package wherever the driver runs."""
@@ -65,8 +27,3 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n: the fold of a labelled row."""
     return F.crc32(F.col(col).cast("string")) % F.lit(n)
-
-
-def texts_of(batch, name: str) -> list[str]:
-    """A string column of an Arrow batch as a list, null as empty."""
-    return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
