@@ -317,3 +317,48 @@ def words_verify(spark, sf_dir):
 @_query("SELECT doc_id, 'Heading1' AS style_id, 'heading 1' AS name, 1 AS heading_level FROM documents")
 def style_table(spark, sf_dir):
     return packages.styles(_packages(spark, sf_dir)).select("doc_id", "style_id", "name", "heading_level")
+
+
+@_query("SELECT conv_id AS doc_id, CAST(n - 2 AS INT) AS item, '(' || printf('%02d', n) || ')' AS marker FROM (SELECT conv_id, 1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
+def docx_list_markers(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    out = packages.rendered(packages.from_items(turns.select("doc_id", F.col("t.text").alias("texts"))))
+    marks = F.regexp_extract_all("words_xml", F.lit('<li marker="([^"]*)">'), F.lit(1))
+    return out.select("doc_id", F.posexplode(marks).alias("item", "marker"))
+
+
+@_query("""
+WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r, o_orderkey, o_orderkey % 3 + 1 AS span, o_orderkey % 2 = 0 AS restart FROM orders),
+g AS (SELECT *, sum(CASE WHEN restart THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY r ROWS UNBOUNDED PRECEDING) AS grp FROM o),
+s AS (SELECT *, count(*) FILTER (NOT restart) OVER (PARTITION BY o_custkey, grp) AS below FROM g)
+SELECT o_custkey AS doc_id, CAST(r AS INT) AS row_idx, 0 AS cell_idx, 0 AS grid_col, CAST(CASE WHEN restart AND below > 0 THEN below + 1 WHEN NOT restart AND grp = 0 THEN 2 ELSE 0 END AS INT) AS row_span,
+  NOT restart AND grp > 0 AS omitted, 'm' AS text FROM s
+UNION ALL SELECT o_custkey, CAST(r AS INT), 1, 1, 0, false, CAST(o_orderkey AS VARCHAR) FROM o
+UNION ALL SELECT o_custkey, CAST(r AS INT), 2, CAST(1 + span AS INT), 0, false, 'end' FROM o
+""")
+def docx_table_cells(spark, sf_dir):
+    def cell(text, span, merge):
+        return F.struct(text.alias("text"), span.cast("int").alias("span"), merge.alias("merge"))
+
+    key, none = F.col("o_orderkey"), F.lit("none")
+    row = F.array(cell(F.lit("m"), F.lit(1), F.when(key % 2 == 0, "restart").otherwise("continue")), cell(key.cast("string"), key % 3 + 1, none), cell(F.lit("end"), F.lit(1), none))
+    orders = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("r"))
+    out = packages.cells(packages.from_rows(orders.select("doc_id", F.col("r.row").alias("rows"))))
+    return out.select("doc_id", "row_idx", "cell_idx", "grid_col", "row_span", "omitted", "text")
+
+
+@_query("""
+WITH f AS (SELECT user_id, CAST(strlen(event_type) AS INT) AS id, min(ts) AS first_ts FROM events GROUP BY ALL)
+SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_ts) - 1 AS INT) AS note_seq, id, 'note ' || id AS text FROM f
+""")
+def docx_notes_order(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").groupBy("user_id", F.octet_length("event_type").alias("id")).agg(F.min("ts").alias("first_ts"))
+    noted = events.groupBy(F.col("user_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("first_ts", "id"))).alias("n"))
+    return packages.notes(packages.from_notes(noted.select("doc_id", F.col("n.id").alias("ids")))).select("doc_id", "note_seq", "id", "text")
+
+
+@_query("SELECT doc_id, 'parse' AS stage, doc_id % 3 = 0 AS is_empty FROM documents WHERE doc_id % 3 < 2")
+def docx_errors(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    spoilt = _packages(spark, sf_dir).select("doc_id", F.when(k == 0, F.lit(b"")).when(k == 1, F.substring("content", 1, 40)).otherwise(F.col("content")).alias("content"))
+    return packages.errors(spoilt).select("doc_id", "stage", (F.col("doc_id") % 3 == 0).alias("is_empty"))

@@ -195,3 +195,57 @@ def verified(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(got, columns=["doc_id", "valid", "errors", "warns"])
 
     return texts.select("doc_id", "words_xml").mapInPandas(run, "doc_id long, valid boolean, errors array<string>, warns array<string>")
+
+
+_NUMBERING = f'<w:numbering xmlns:w="{NS}"><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="2"/><w:numFmt w:val="decimalZero"/><w:lvlText w:val="(%1)"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
+
+
+def _text(s: str | None) -> str:
+    return f'<w:r><w:t xml:space="preserve">{escape(s or "")}</w:t></w:r>'
+
+
+def from_items(items: DataFrame) -> DataFrame:
+    """items: doc_id, texts (array of strings in order). Packages with one numbered list."""
+    prepare(items.sparkSession)
+
+    def make(batches):
+        for batch in batches:
+            item = '<w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr>{}</w:p>'
+            made = [package({"word/document.xml": document_part("".join(item.format(_text(t)) for t in texts)), "word/numbering.xml": _NUMBERING}) for texts in batch["texts"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": made})
+
+    return items.select("doc_id", "texts").mapInPandas(make, "doc_id long, content binary")
+
+
+def from_rows(tables: DataFrame) -> DataFrame:
+    """tables: doc_id, rows (array of arrays of struct<text, span, merge>, merge one of
+    restart, continue, none). Packages with one table."""
+    prepare(tables.sparkSession)
+
+    def cell(c) -> str:
+        merge = {"restart": '<w:vMerge w:val="restart"/>', "continue": "<w:vMerge/>"}.get(c["merge"], "")
+        return f'<w:tc><w:tcPr><w:gridSpan w:val="{c["span"]}"/>{merge}</w:tcPr><w:p>{_text(c["text"])}</w:p></w:tc>'
+
+    def make(batches):
+        for batch in batches:
+            made = [package({"word/document.xml": document_part("<w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in rows) + "</w:tbl>")}) for rows in batch["rows"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": made})
+
+    return tables.select("doc_id", "rows").mapInPandas(make, "doc_id long, content binary")
+
+
+def from_notes(noted: DataFrame) -> DataFrame:
+    """noted: doc_id, ids (array of footnote ids in the order of their references). Packages
+    with a paragraph for each reference; the notes themselves stand in ascending order."""
+    prepare(noted.sparkSession)
+
+    def make(batches):
+        for batch in batches:
+            made = []
+            for ids in batch["ids"]:
+                body = "".join(f'<w:p><w:r><w:footnoteReference w:id="{i}"/></w:r></w:p>' for i in ids)
+                notes_part = "".join(f'<w:footnote w:id="{i}"><w:p>{_text(f"note {i}")}</w:p></w:footnote>' for i in sorted(set(ids)))
+                made.append(package({"word/document.xml": document_part(body), "word/footnotes.xml": f'<w:footnotes xmlns:w="{NS}">{notes_part}</w:footnotes>'}))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": made})
+
+    return noted.select("doc_id", "ids").mapInPandas(make, "doc_id long, content binary")
