@@ -314,20 +314,17 @@ def _monospace(font: str) -> bool:
 
 
 def _names_code(s: str) -> bool:
-    s = s.lower()
-    for word in ("code", "source", "output"):
-        at = s.find(word)
-        if at >= 0 and s[at - 1 : at] in ("", " ", "-", "_") * (at > 0) + ("",) * (at == 0) and s[at + len(word) : at + len(word) + 1] in ("", " ", "-", "_"):
-            return True
-    return False
+    """Whether the first occurrence of a code word stands alone in a style's name or id."""
+    s = f" {s.lower()} "
+    return any((at := s.find(word)) > 0 and s[at - 1] in " -_" and s[at + len(word)] in " -_" for word in ("code", "source", "output"))
 
 
 class Reader:
     def __init__(self, doc: Document):
         self.doc = doc
 
-    # blocks of a story, in order; lists_alone: notes do not look for drawings beside list items
     def blocks(self, parent, top: bool = False, paragraphs_only: bool = False) -> list[Block]:
+        """Blocks of a story in order. Notes have paragraphs only."""
         out: list[Block] = []
         for e in parent:
             if e.tag == W + "p":
@@ -470,7 +467,7 @@ class Reader:
 
     def _atoms(self, r, seed: Run, defaults: Run | None, code: bool, state: dict, ordered: bool) -> tuple[list[Run], list[Block]]:
         doc, rpr = self.doc, r.find(W + "rPr")
-        if (mark := r.findall(W + "fldChar")) :
+        if mark := r.findall(W + "fldChar"):
             kind = _get(mark[-1], "", "fldCharType")
             if kind == "separate":
                 state["shown"] = True
@@ -540,7 +537,7 @@ class Reader:
             after = []
             if r.find(W + "tab") is not None:
                 after.append(replace(like, kind="tab"))
-            if (br := r.findall(W + "br")):
+            if br := r.findall(W + "br"):
                 after.append(replace(like, kind="br", target=_get(br[-1], "", "type") or "textWrapping"))
             if r.find(W + "cr") is not None:
                 after.append(replace(like, kind="br", target="textWrapping"))

@@ -197,6 +197,21 @@ def verified(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "words_xml").mapInPandas(run, "doc_id long, valid boolean, errors array<string>, warns array<string>")
 
 
+class DocxBlocks:
+    """Table function docx_blocks(content): the body's blocks of one package, none if it cannot be read."""
+
+    def eval(self, content: bytes):
+        doc = _parsed(content, "semantic")
+        for k, b in enumerate(doc.body if doc else ()):
+            yield k, b.kind, b.heading, b.plain
+
+
+def register(spark: SparkSession) -> None:
+    """Make docx_blocks known to SQL: SELECT ... FROM packages, LATERAL docx_blocks(content)."""
+    prepare(spark)
+    spark.udtf.register("docx_blocks", F.udtf(DocxBlocks, returnType="block_seq int, kind string, heading_level int, text string"))
+
+
 _NUMBERING = f'<w:numbering xmlns:w="{NS}"><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="2"/><w:numFmt w:val="decimalZero"/><w:lvlText w:val="(%1)"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
 
 

@@ -25,6 +25,14 @@ def test_tables_of_a_package(spark):
     assert packages.levels(rows).count() == 0
 
 
+def test_table_function(spark):
+    packages.register(spark)
+    good = packages.package({"word/document.xml": packages.document_part("<w:p><w:r><w:t>a</w:t></w:r></w:p><w:tbl/>")})
+    _rows(spark, good, b"x").createOrReplaceTempView("held")
+    got = spark.sql("SELECT doc_id, block_seq, kind, text FROM held, LATERAL docx_blocks(content)").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, "paragraph", "a"), (0, 1, "table", "")]
+
+
 def test_empty_table(spark):
     empty = _rows(spark).limit(0)
     for table in (packages.blocks, packages.cells, packages.notes, packages.styles, packages.rendered, packages.errors):
