@@ -149,4 +149,20 @@ judged AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE method END AS verdict FROM judged
 """.replace("TWO", "'co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in'").replace("\\\\", "\\")
 
-ORACLES = {"op8_url_filter": OP8_SQL, "op3_exact_dedup": OP3_SQL}
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words
+), sized AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS id FROM sets),
+e AS (SELECT doc_id, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT i, j, a.id <> b.id AS other, b.id FROM pairs JOIN sized a ON a.doc_id = i JOIN sized b ON b.doc_id = j WHERE 100 * o >= 75 * (a.n + b.n - o)),
+reach(i, j) AS (SELECT i, j FROM links UNION SELECT r.i, l.j FROM reach r JOIN links l ON l.i = r.j)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce(m.first, doc_id)) AS component_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM sized LEFT JOIN (SELECT i, min(j) AS first FROM reach GROUP BY i) m ON m.i = doc_id
+LEFT JOIN (SELECT i, count(DISTINCT id) AS n_links FROM links WHERE other GROUP BY i) k ON k.i = doc_id
+"""
+
+ORACLES = {"op8_url_filter": OP8_SQL, "op3_exact_dedup": OP3_SQL, "op10_ngram_join": OP10_SQL}
