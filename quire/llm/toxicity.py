@@ -100,14 +100,19 @@ def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "at": [of(x).tobytes() for x in frame["text"]]})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows of two numbers
-    rows = joined.mapInPandas(features, "doc_id long, label int, at binary").toPandas()
+    rows = joined.mapInPandas(features, "doc_id long, label int, at binary").toArrow().combine_chunks()
     if not len(rows):
         return np.zeros(0, np.uint32), np.zeros(0), 0.0
-    rows = rows.iloc[np.argsort(((rows["doc_id"].to_numpy() * 0x9E3779B1) % 2**32), kind="stable")]  # an order that does not hang on partitions
-    found = [np.frombuffer(x, np.uint32) for x in rows["at"]]
-    known, docs_with = np.unique(np.concatenate(found), return_counts=True)
-    known = known[docs_with >= MIN_DOCS]
-    examples = [(_places(known, x), y) for x, y in zip(found, rows["label"], strict=True)]
+    ids, labels = rows["doc_id"].to_numpy(), rows["label"].to_numpy()
+    found = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["at"]]  # views of the rows as they came
+    order = np.argsort((ids * 0x9E3779B1) % 2**32, kind="stable")  # one that does not hang on partitions
+    every = np.concatenate(found)
+    every.sort()  # in place: what occurs MIN_DOCS times is equal to what stands MIN_DOCS - 1 further
+    short = len(every) - MIN_DOCS + 1
+    known = np.unique(every[: max(short, 0)][every[: max(short, 0)] == every[MIN_DOCS - 1 :][: max(short, 0)]])
+    del every
+    examples = [(_places(known, found[k]).astype(np.int32), labels[k]) for k in order]
+    del rows, found
     model = Ftrl(len(known))
     for _ in range(EPOCHS):
         for at, label in examples:
