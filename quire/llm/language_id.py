@@ -63,20 +63,21 @@ def _counts(frames):
 
 
 class Model:
-    """Rows of log frequencies, one per known word and n-gram."""
+    """Log frequencies: a row of the table for each known word, and for each known n-gram,
+    whose length tells its kind."""
 
-    def __init__(self, langs: list[str], known: dict[tuple[int, str], np.ndarray]):
-        self.langs, self.known = langs, known
+    def __init__(self, langs: list[str], table: np.ndarray, words: dict[str, int], grams: dict[str, int]):
+        self.langs, self.table, self.words, self.grams = langs, table, words, grams
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, len(langs)))
 
     def word(self, word: str) -> np.ndarray:
-        if (row := self.known.get((0, word))) is not None:
-            return row
+        if (at := self.words.get(word)) is not None:
+            return self.table[at]
         for n in range(LONGEST, 0, -1):
-            found = [row for gram in grams_of(word, n) if (row := self.known.get((n, gram))) is not None]
+            found = [at for gram in grams_of(word, n) if (at := self.grams.get(gram)) is not None]
             if found:
-                return np.sum(found, axis=0) / len(found)
+                return self.table[found].sum(axis=0) / len(found)
         return np.zeros(len(self.langs))
 
     def row(self, word: str) -> int:
@@ -114,26 +115,26 @@ def fit(train: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     per_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
     items = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), *per_lang).where("n > 1")
     totals = counts.groupBy("kind").agg(F.count(F.lit(1)), *per_lang).toPandas().set_index("kind")
-    known = {}
+    columns, table, known = [f"n{k}" for k in range(len(langs))], [np.zeros((0, len(langs)))], []
     for kept in (items.where("kind = 0").orderBy(F.desc("n"), "item").limit(MAX_WORDS), items.where("kind > 0").orderBy(F.desc("n"), "kind", "item").limit(MAX_GRAMS)):
         part = kept.toPandas()  # bounded by MAX_WORDS and MAX_GRAMS
+        first = sum(map(len, table))
+        known.append(dict(zip(part["item"], range(first, first + len(part)), strict=True)))
         if len(part):
-            sizes = totals.loc[part["kind"], [f"n{k}" for k in range(len(langs))]].to_numpy()
-            rows = np.log((part[[f"n{k}" for k in range(len(langs))]].to_numpy() + 0.5) / (sizes + 1))
-            known |= dict(zip(zip(part["kind"], part["item"], strict=True), rows, strict=True))
-    return Model(langs, known)
+            table.append(np.log((part[columns].to_numpy() + 0.5) / (totals.loc[part["kind"], columns].to_numpy() + 1)))
+    return Model(langs, np.concatenate(table), *known)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds the language and its score, under these names, to the columns in keep (default: all)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.known))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns if keep is None else keep
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def score(frames):
         import pyarrow as pa
 
-        own = Model(*shared.value)
+        own = shared.value  # a worker's tasks share the words it has scored
         for batch in frames:
             got = [own.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
