@@ -197,5 +197,5 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     "ids_crc32": [zlib.crc32(held.document(k).astype("<u4")) for k in range(n)],
                 })
 
-    files = manifest.select("name", "base").repartition("name")
+    files = manifest.select("name", "base").repartition(max(1, manifest.count()), "name")
     return files.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
