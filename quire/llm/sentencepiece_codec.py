@@ -3,8 +3,8 @@
 A text's lattice has an edge for every piece that spells a stretch of it, weighted by the
 piece's score over the temperature; characters that no piece spells are their bytes. No
 piece has a space behind another sign, nor letters next to other signs, so the lattice of
-a text is the chain of the lattices of its words and signs, and each distinct one is
-filtered forward once: for every end position, the sum of the weights of all ways there,
+a text is the chain of the lattices of its words and signs, whatever their length, and each
+distinct one is filtered forward once: for every end position, the sum of the weights of all ways there,
 and with it the distribution of the last edge. Sampling runs backward from the end of each word, for all
 words of a batch at a time, one inverse-distribution lookup an edge.
 
@@ -30,14 +30,12 @@ from pyspark.sql import functions as F
 TEMPERATURE = 1_000.0
 #: Edges of lattices that a worker keeps (about 20 bytes each) before it starts anew.
 CACHE_EDGES = 6_000_000
-#: Longest stretch one word lattice has; a longer word is cut there.
-LONGEST_WORD = 64
 #: Stands for U+2581 in a text, whose own piece means a space; no UTF-8 text has it.
 _SIGN = "\udc81"
-_WORD = re.compile(f"▁*[^▁]{{1,{LONGEST_WORD}}}|▁+")
+_WORD = re.compile("▁*[^▁]+|▁+")
 #: The same, cut between letters and other signs too, for models whose pieces never mix them.
 _LETTER, _OTHER = r"[^\W\d_²³¹¼½¾]", r"[\W\d_²³¹¼½¾](?<!▁)"
-_PART = re.compile(f"▁*(?:{_LETTER}{{1,{LONGEST_WORD}}}|(?:{_OTHER}){{1,{LONGEST_WORD}}})|▁+")
+_PART = re.compile(f"▁*(?:{_LETTER}+|(?:{_OTHER})++)|▁+")
 _MIXED = re.compile(f"{_LETTER}(?={_OTHER})|{_OTHER}(?={_LETTER})")
 
 
@@ -146,7 +144,7 @@ class Lattices:
                     cum[at] = state + cum[at] / total
                 cum[-1] = state + 1.0
                 alpha.append(total)
-                if total < 1e-100:  # only ratios of the last ones matter
+                if not 1e-100 < total < 1e100:  # only ratios of the last ones matter
                     alpha[-longest - 1 :] = [x / total for x in alpha[-longest - 1 :]]
                 state += 1
             self.words[word] = state - 1

@@ -84,6 +84,27 @@ def test_samples_follow_the_lattice():
     assert tuple(best.encode([1], ["Hello"])[0].tolist()) == max(weights, key=weights.get)
 
 
+@pytest.mark.parametrize(("text", "draws"), [("internationalization" * 5, 3000), ("haha" * 30, 3000), ("-" * 80, 3000), ("-" * 30_000, 20)])
+def test_samples_of_long_words_follow_the_whole_lattice(text, draws):
+    own = sentencepiece_codec.Lattices(PIECE, 1000.0)
+    s = "▁" + text
+    edges = [(a, b, own.pieces[s[a:b]][1] / 1000) for b in range(1, len(s) + 1) for a in range(max(0, b - own.longest), b) if s[a:b] in own.pieces]
+    there, back = np.full(len(s) + 1, -np.inf), np.full(len(s) + 1, -np.inf)  # logarithms of the sums of all ways to and from a place
+    there[0] = back[-1] = 0
+    for a, b, x in edges:
+        there[b] = np.logaddexp(there[b], there[a] + x)
+    for a, b, x in sorted(edges, reverse=True):
+        back[a] = np.logaddexp(back[a], back[b] + x)
+    want = np.exp(there + back - there[-1])
+    size = {k: len(piece) for piece, (k, _) in own.pieces.items()}
+    borders = np.zeros(len(s) + 1)
+    drawn = own.encode(list(range(draws)), [text] * draws)
+    for ids in drawn:
+        borders[np.cumsum([0, *(size[k] for k in ids.tolist())])] += 1
+    assert own.model.decode(drawn[0].tolist()) == text
+    assert abs(borders / draws - want).max() < 5 * 0.5 / draws**0.5
+
+
 # --- op2, op5, op7 ---
 
 
