@@ -19,8 +19,8 @@ down before lists are searched, and no step loses a link:
 A component with more than GROUP_CELLS shingles is cut into blocks, and tasks get pairs
 of blocks, so a task's memory is bounded whatever the component.
 
-Shingles are 64-bit hashes, compared by their shard and 32 more bits; classes are 128-bit
-hashes of whole sets.
+Shingles are 64-bit hashes, compared by all their bits; classes are 128-bit hashes of whole
+sets.
 
 Defined results: null is empty; a text without words has an empty set, no links, and is
 its own component; fewer words than a shingle has make one shingle; a null id belongs to
@@ -111,7 +111,7 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
 
 
 def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> DataFrame:
-    """key, cell, df: shingles that occur in at least two classes, with each class that has them."""
+    """key, cell (the hash), df: shingles that occur in at least two classes, with each class that has them."""
 
     def post(batches):
         of, sets, keys, seen, n = Shingles(words), [], [], set(), 0
@@ -124,7 +124,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
                 s = np.concatenate(sets)
                 shard = ((s >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
-                s, doc = (s & np.uint64(0xFFFFFFFF)).astype("<u4")[order], doc[order]
+                s, doc = s.view(np.int64).astype("<i8")[order], doc[order]
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
                 rows = []
                 for k in np.flatnonzero(np.diff(cuts)):
@@ -151,8 +151,8 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         yield from flush()
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        cells = np.concatenate([np.frombuffer(x, "<u4") for x in part["cells"]])
-        keys = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(d, "<u2" if 2 * len(c) == 4 * len(d) else "<u4")] for c, d, k in zip(part["cells"], part["doc"], part["keys"], strict=True)])
+        cells = np.concatenate([np.frombuffer(x, "<i8") for x in part["cells"]])
+        keys = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(d, "<u2" if 2 * len(c) == 8 * len(d) else "<u4")] for c, d, k in zip(part["cells"], part["doc"], part["keys"], strict=True)])
         order = np.argsort(cells, kind="stable")
         cells = cells[order]
         more = np.zeros(len(cells), bool)
@@ -168,8 +168,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         _, at, df = np.unique(cells, return_inverse=True, return_counts=True)
         df = df[at] if len(cells) else np.zeros(0, np.int64)
         kept = df > 1
-        shard = np.int64(part["shard"].iloc[0]) << 32
-        return pd.DataFrame({"key": keys[kept], "cell": shard | cells[kept].astype(np.int64), "df": df[kept]})
+        return pd.DataFrame({"key": keys[kept], "cell": cells[kept], "df": df[kept]})
 
     lists = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(post, "shard int, cells binary, doc binary, keys binary")
     return lists.groupBy("shard").applyInPandas(count, "key long, cell long, df long")

@@ -364,6 +364,15 @@ def test_join_equals_brute_force(spark, group_cells):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_join_tells_shingles_apart_by_all_bits(spark):
+    of = ngram_join.Shingles(1)
+    one, two = (int(of(w)[0]) for w in ("w77442", "w101782"))
+    assert one != two and one % 2**32 == two % 2**32
+    rows = [(1, "a b c d e w77442"), (2, "a b c d e w101782"), (3, "a b c d e w77442 f")]
+    got = ngram_join.ngram_join(docs_of(spark, rows), words=1).select("doc_id", "n_shingles", "component_id", "n_links")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, words=1) == [(1, 6, 1, 1), (2, 6, 2, 0), (3, 7, 1, 1)]
+
+
 def test_join_keeps_one_row_of_a_component(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (4, "A b c d e f"), (None, "a b c d e f"), (7, "")]
     got = ngram_join.ngram_join(docs_of(spark, rows)).collect()
