@@ -22,9 +22,10 @@ def running_counter(doc: list[str], order: list[str], start: Column) -> Column:
 
 
 def same_ahead(doc: list[str], order: list[str], item: Column, barrier: Column, num: Column, most: int = 50) -> Column:
-    """Whether the next list item within `most` rows, this one counted, is one of list
-    `num`, with no barrier before it. item is null for rows that are no list items."""
-    w = Window.partitionBy(*doc).orderBy(*order).rowsBetween(0, most)
+    """Whether the next list item, this row's own counted and up to `most` others before it
+    passed, is one of list `num`, with no barrier before it. item is null for rows that are
+    no list items."""
+    w = Window.partitionBy(*doc).orderBy(*order).rowsBetween(0, most + 1)
     event = F.when(barrier, F.struct(F.lit(True).alias("stop"), F.lit(None).cast("string").alias("item"))).when(item.isNotNull(), F.struct(F.lit(False).alias("stop"), item.cast("string").alias("item")))
     first = F.first_value(event, True).over(w)
     return F.coalesce(~first["stop"] & (first["item"] == num), F.lit(False))
