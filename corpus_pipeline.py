@@ -3,7 +3,8 @@
 A stage keeps the columns of documents (the last returns pieces placed in sequences).
 Rows are told apart by their place in the table that a stage reads, so null and repeated
 ids are handled as in the operators: language ID keeps a row unless its language is
-undetermined or uncertain, toxicity unless its score reaches 0.5, exact dedup and the
+undetermined or uncertain, toxicity unless its score reaches 0.5 (all rows are kept if
+there is no label to learn from), exact dedup and the
 n-gram join keep the first row of a group, packing places every piece.
 """
 
@@ -35,8 +36,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     sample = toxicity.labelled(common.table(spark, sf_dir, "labels"), "toxic", F.lit(True), toxicity.TRAIN_DOCS)
-    scored = toxicity.score(docs, toxicity.fit(docs, sample), name="_toxic")
-    return scored.where(F.col("_toxic") < TOXIC).select(*docs.columns)
+    model = toxicity.fit(docs, sample)
+    scored = toxicity.score(docs, model, name="_toxic")
+    return scored.where(~toxicity.is_toxic(F.col("_toxic"), model, TOXIC)).select(*docs.columns)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,8 +51,9 @@ def op5_toxicity(spark, sf_dir):
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = toxicity.labelled(common.table(spark, sf_dir, "labels"), "toxic", common.crc_mod("doc_id", 5) != 0, toxicity.TRAIN_DOCS)
-    scored = toxicity.score(docs, toxicity.fit(docs, sample), keep=["doc_id"])
-    return scored.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model = toxicity.fit(docs, sample)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", toxicity.is_toxic(F.col("score"), model).cast("int").alias("predicted"))
 
 
 def op6_best_fit_packing(spark, sf_dir):

@@ -19,7 +19,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS, MIN_DOCS = 12_000, 3
@@ -122,6 +122,11 @@ def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     return known[kept], every[kept], float(every[-1])
 
 
+def is_toxic(score: Column, model: tuple[np.ndarray, np.ndarray, float], least: float = 0.5) -> Column:
+    """Whether a score of the model is a toxic text's: none is if the model has learned nothing."""
+    return score >= least if len(model[0]) or model[2] else F.lit(False)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """Adds the score, under this name, to the columns in keep (default: all)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -127,6 +127,17 @@ def test_toxicity_learns_and_scores_all_rows(spark):
     assert {r["score"] for r in toxicity.score(d, nothing, keep=["doc_id"]).collect()} == {0.5}
 
 
+def test_nothing_is_toxic_without_labels(spark, tmp_path):
+    import corpus_pipeline
+    from quire.llm import queries
+
+    d, labels = labelled(spark, 12)
+    d.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert [r["predicted"] for r in queries.op5_toxicity(spark, str(tmp_path)).collect()] == [0] * 15
+    assert corpus_pipeline.toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() == 15
+
+
 def test_quality_learns_and_scores_all_rows(spark):
     from pyspark.sql import functions as F
 
