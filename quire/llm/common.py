@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +29,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n: the fold of a labelled row."""
     return F.crc32(F.col(col).cast("string")) % F.lit(n)
+
+
+@contextlib.contextmanager
+def uncollected():
+    """No cycle collection: for code that makes no cycles and keeps caches that are slow to walk."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
