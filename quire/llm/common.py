@@ -26,9 +26,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def crc_mod(col: str, n: int):
-    """crc32 of the id as text, modulo n: the fold of a labelled row."""
-    return F.crc32(F.col(col).cast("string")) % F.lit(n)
+def in_fold(col: str, n: int, fold: int):
+    """Whether crc32 of the id as text, modulo n, is fold; a null id is in none."""
+    return F.coalesce(F.crc32(F.col(col).cast("string")) % F.lit(n) == fold, F.lit(False))
 
 
 @contextlib.contextmanager
@@ -41,3 +41,27 @@ def uncollected():
     finally:
         if was:
             gc.enable()
+
+
+#: Most keys of a join that are looked up in a broadcast table.
+HOT_KEYS, HOT_ROWS = 1_000, 16
+
+
+def join_unique(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """big, a written table, joined (inner or left) with small, which has each key once.
+
+    The HOT_KEYS most frequent keys of big (of those with more than HOT_ROWS rows) are
+    joined by broadcast: at most HOT_KEYS rows of small, whatever the input. Of the others
+    none has more than a HOT_KEYS-th of big's rows, so no task gets a hot key; nor do null
+    keys meet, which join nothing.
+    """
+    keys = [key] if isinstance(key, str) else key
+    known = big.dropna(subset=keys)
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = F.broadcast(written(counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys), "hot-keys"))
+    warm = known.join(F.broadcast(hot.join(small, keys, how)), keys)
+    out = warm.unionByName(known.join(hot, keys, "left_anti").join(small, keys, how))
+    if how == "left":
+        lost = big.where(" or ".join(f"`{k}` is null" for k in keys))
+        out = out.unionByName(lost, allowMissingColumns=True)
+    return out

@@ -2,16 +2,20 @@
 
 History is kept in shards of bounded size. A shard is one row: the bit levels of a
 minimal perfect hash over its digests, and slot arrays with the full 32-byte digest and
-the locator (id, row, copies) of the row that stays. A lookup hashes a digest to its
+the locator (id, row) and copies of the row that stays. A lookup hashes a digest to its
 slot and compares all 32 bytes, so a stranger is never taken for a member. Rows whose
-digest is a member are repeats of the slot's winner; the others are grouped apart.
+digest is a member are repeats of the slot's winner, whose locator decides, and add to the
+slot's copies; the others are grouped apart.
 
 Rows are reduced to one per digest before they meet a shard, so a text that a third of
-all rows share is one probe. Shards are cut by digest prefix and are even by nature.
+all rows share is one probe. Shards are cut by digest prefix, are even by nature, and as
+many as the larger of history and probes needs. The rows themselves meet their digest's
+entry by a join that broadcasts the entries of the most frequent digests.
 
 Defined results: a null text equals an empty one; of equal texts the smallest id stays,
 a null id comes after all others, rows that repeat an id are told apart by their place
-in the input, so one row of a group stays, always. An empty table gives no rows.
+in the input, so one row of a group stays, always. An empty table gives no rows. Texts of
+any length are read whole. Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Digests a shard holds at most on average (48 bytes each in its slots).
+#: Digests of history, and of probes, that a shard holds at most on average (57 bytes each in its slots).
 SHARD_KEYS = 50_000
 GAMMA = 2
-_LOCATOR = "struct<no_id:boolean,doc_id:bigint,row_id:bigint>"
 
 
 # --- minimal perfect hash -------------------------------------------------------------
@@ -100,12 +103,13 @@ def _words(digests: list[bytes]) -> np.ndarray:
 # --- history --------------------------------------------------------------------------
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_id, digest (SHA-256 of the text with each run of ASCII white space as one space)."""
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
+    """doc_id, row_id (the column `place`, if docs has row numbers of its own), digest (SHA-256
+    of the text with each run of ASCII white space as one space)."""
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), common.ASCII_WS, " ")
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(place) if place else F.monotonically_increasing_id()).alias("row_id"),
         F.unhex(F.sha2(plain, 256)).alias("digest"),
     )
 
@@ -132,61 +136,57 @@ def build_history(distinct: DataFrame, shards: int) -> DataFrame:
             "shard": int(part["shard"].iloc[0]), "sizes": sizes, "bits": bits, "slots": keys[order].tobytes(),
             "no_id": part["no_id"].to_numpy(bool)[order].tobytes(),
             "ids": part["doc_id"].fillna(0).to_numpy("<i8")[order].tobytes(),
-            "rows": part["row_id"].to_numpy("<i8")[order].tobytes(),
+            "rows": part["row_id"].to_numpy("<i8")[order].tobytes(), "copies": part["copies"].to_numpy("<i8")[order].tobytes(),
         }])
 
-    flat = distinct.select(_shard(shards).alias("shard"), "digest", "winner.no_id", "winner.doc_id", "winner.row_id")
-    return flat.groupBy("shard").applyInPandas(build, "shard int, sizes binary, bits binary, slots binary, no_id binary, ids binary, rows binary")
+    flat = distinct.select(_shard(shards).alias("shard"), "digest", "winner.no_id", "winner.doc_id", "winner.row_id", "copies")
+    return flat.groupBy("shard").applyInPandas(build, "shard int, sizes binary, bits binary, slots binary, no_id binary, ids binary, rows binary, copies binary")
 
 
 def lookup(probes: DataFrame, history: DataFrame, shards: int) -> DataFrame:
-    """probes: digest, copies, one row per digest. Adds member and, for members, the slot's winner."""
-
-    def probe(part: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"digest": part["digest"], "copies": part["copies"], "member": False, "no_id": False, "doc_id": pd.array([None] * len(part), "Int64"), "row_id": pd.array([None] * len(part), "Int64")})
-        if len(part) and len(index):
-            x = index.iloc[0]
-            keys, held = _words(list(part["digest"])), np.frombuffer(x["slots"], "<u8").reshape(-1, 4)
-            at = PerfectHash.load(x["sizes"], x["bits"]).slots(keys)
-            hit = (at >= 0) & (held[np.maximum(at, 0)] == keys).all(axis=1)
-            no_id = np.frombuffer(x["no_id"], bool)[at[hit]]
-            out.loc[hit, "member"] = True
-            out.loc[hit, "no_id"] = no_id
-            out.loc[hit, "doc_id"] = pd.array(np.frombuffer(x["ids"], "<i8")[at[hit]], "Int64")
-            out.loc[hit, "row_id"] = pd.array(np.frombuffer(x["rows"], "<i8")[at[hit]], "Int64")
-            out.loc[hit & out["no_id"].to_numpy(bool), "doc_id"] = pd.NA
-        return out
+    """probes: digest, winner, copies, one row per digest. One row per digest of history or
+    probes: digest, no_id, doc_id, row_id (the row that stays), copies."""
+
+    def settle(part: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        keys = _words(list(part["digest"]))
+        own = pd.DataFrame({"digest": part["digest"], "no_id": part["no_id"], "doc_id": part["doc_id"].astype("Int64"), "row_id": part["row_id"], "copies": part["copies"]})
+        if not len(index):
+            return own
+        x = index.iloc[0]
+        held, copies = np.frombuffer(x["slots"], "<u8").reshape(-1, 4), np.frombuffer(x["copies"], "<i8").copy()
+        at = PerfectHash.load(x["sizes"], x["bits"]).slots(keys)
+        hit = (at >= 0) & (held[np.maximum(at, 0)] == keys).all(axis=1)
+        copies[at[hit]] += part["copies"].to_numpy()[hit]  # a digest is one probe
+        slots = pd.DataFrame({"digest": [held[k].tobytes() for k in range(len(held))], "no_id": np.frombuffer(x["no_id"], bool), "doc_id": pd.array(np.frombuffer(x["ids"], "<i8"), "Int64"), "row_id": np.frombuffer(x["rows"], "<i8"), "copies": copies})
+        slots.loc[slots["no_id"], "doc_id"] = pd.NA
+        return pd.concat([slots, own[~hit]])
 
-    shaped = probes.select(_shard(shards).alias("shard"), "digest", "copies")
-    got = shaped.groupBy("shard").cogroup(history.groupBy("shard")).applyInPandas(probe, "digest binary, copies long, member boolean, no_id boolean, doc_id long, row_id long")
-    return got.select("digest", "copies", "member", F.when(F.col("member"), F.struct("no_id", "doc_id", "row_id")).cast(_LOCATOR).alias("slot"))
+    shaped = probes.select(_shard(shards).alias("shard"), "digest", "winner.no_id", "winner.doc_id", "winner.row_id", "copies")
+    return shaped.groupBy("shard").cogroup(history.groupBy("shard")).applyInPandas(settle, "digest binary, no_id boolean, doc_id long, row_id long, copies long")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", split: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", split: int | None = None, place: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_id.
 
     The table is taken as two loads: rows with an id up to `split` (default: the middle
-    of the id range) are history, the others are probed against it.
+    of the id range) are history, the others are probed against it. A column `place` of docs
+    that numbers its rows is given back as row_id.
     """
-    rows = common.written(digests(docs, doc_id, text), "digests")
+    rows = common.written(digests(docs, doc_id, text, place), "digests")
     if split is None:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         split = 0 if low is None else (low + high) // 2
     known = F.coalesce(F.col("doc_id") <= F.lit(split), F.lit(False))
     old = common.written(groups(rows.where(known)), "history")
     new = common.written(groups(rows.where(~known)), "probes")
-    shards = max(1, -(-old.count() // SHARD_KEYS))
+    shards = max(1, -(-max(old.count(), new.count()) // SHARD_KEYS))
     history = common.written(build_history(old, shards), "perfect-hash")
-    looked = new.join(lookup(new.select("digest", "copies"), history, shards).drop("copies"), "digest")
-    repeats = looked.where("member").select("digest", F.col("slot").alias("winner"), "copies")
-    strangers = looked.where("not member").select("digest", "winner", "copies")
-    merged = old.unionByName(repeats).groupBy("digest").agg(F.min("winner").alias("winner"), F.sum("copies").alias("copies"))
-    by_digest = merged.unionByName(strangers)
-    return rows.join(by_digest, "digest").select(
+    settled = common.written(lookup(new, history, shards), "settled").withColumnsRenamed({"doc_id": "keep_id", "row_id": "keep_row"})
+    return common.join_unique(rows, settled, "digest").select(
         "doc_id",
-        F.col("winner.doc_id").alias("keep_id"),
-        F.col("copies").cast("long").alias("group_size"),
-        (F.col("row_id") == F.col("winner.row_id")).alias("kept"),
+        "keep_id",
+        F.col("copies").alias("group_size"),
+        (F.col("row_id") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "row_id",
     )

@@ -24,10 +24,10 @@ def op2_quality(spark, sf_dir):
 
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    sample = labelled(common.table(spark, sf_dir, "labels"), "quality", common.crc_mod("doc_id", 4) != 2, quality.TRAIN_DOCS)
+    sample = labelled(common.table(spark, sf_dir, "labels"), "quality", ~common.in_fold("doc_id", 4, 2), quality.TRAIN_DOCS)
     vectors = quality.word_vectors(docs)
     scored = quality.score(docs, quality.fit(docs, sample, vectors), vectors, keep=["doc_id"])
-    return scored.select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", common.in_fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -50,10 +50,10 @@ def op5_toxicity(spark, sf_dir):
 
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    sample = toxicity.labelled(common.table(spark, sf_dir, "labels"), "toxic", common.crc_mod("doc_id", 5) != 0, toxicity.TRAIN_DOCS)
+    sample = toxicity.labelled(common.table(spark, sf_dir, "labels"), "toxic", ~common.in_fold("doc_id", 5, 0), toxicity.TRAIN_DOCS)
     model = toxicity.fit(docs, sample)
     scored = toxicity.score(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", toxicity.is_toxic(F.col("score"), model).cast("int").alias("predicted"))
+    return scored.select("doc_id", common.in_fold("doc_id", 5, 0).alias("held_out"), "score", toxicity.is_toxic(F.col("score"), model).cast("int").alias("predicted"))
 
 
 def op6_best_fit_packing(spark, sf_dir):
@@ -69,9 +69,9 @@ def op7_language_id(spark, sf_dir):
 
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language_id.fit(docs.where(common.crc_mod("doc_id", 4) != 2))
+    model = language_id.fit(docs.where(~common.in_fold("doc_id", 4, 2)))
     predicted = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return predicted.select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predicted.select("doc_id", common.in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_url_filter(spark, sf_dir):
