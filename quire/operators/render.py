@@ -35,8 +35,8 @@ def _pt(x: float) -> str:
 
 
 def attributes(pairs) -> str:
-    """Attributes of the pairs that have a value, which must be escaped already."""
-    return "".join(f' {k}="{v}"' for k, v in pairs if v)
+    """Attributes of the pairs that have a value."""
+    return "".join(f' {k}="{escape(str(v))}"' for k, v in pairs if v)
 
 
 def borders(sides: dict[str, tuple[str, int, int, str]]) -> str:
@@ -81,7 +81,7 @@ class Renderer:
             case "tab":
                 core = "\t" if code else "<tab/>"
             case "br":
-                core = "\n" if code else f'<br type="{r.target}"/>'
+                core = "\n" if code else f'<br type="{escape(r.target)}"/>'
             case "note":
                 core = f'<fn-ref id="{r.note_id}" type="{r.target}"/>'
             case "link":
@@ -90,7 +90,7 @@ class Renderer:
                     core = f"<{tag}>{core}</{tag}>" if on else core
                 core = f'<a href="{escape(r.target)}">{core}</a>'
             case "img":
-                core = f"<img{attributes([('alt', escape(r.alt))])}/>"
+                core = f"<img{attributes([('alt', r.alt)])}/>"
             case "sym":
                 try:
                     core = chr(int(r.target, 16))
@@ -103,7 +103,7 @@ class Renderer:
         if self.doc.mode == "lossless":
             for tag, who in (("ins", r.inserted), ("del", r.deleted)):
                 if who is not None:
-                    core = f"<{tag}{attributes([('author', escape(who[0])), ('date', escape(who[1]))])}>{core}</{tag}>"
+                    core = f"<{tag}{attributes([('author', who[0]), ('date', who[1])])}>{core}</{tag}>"
         return core
 
     def _marked(self, r: Run) -> str:
@@ -133,14 +133,14 @@ class Renderer:
         stop = lambda t: f"{t[0]:.6f}" + ("" if t[1:] == ("left", "none") else f"@{t[1]}" + (f":{t[2]}" if t[2] != "none" else ""))
         further = ("suppressAutoHyph", "snapToGrid", "kinsoku", "wordWrap", "overflowPunct", "topLinePunct", "autoSpaceDE", "autoSpaceDN", "textDirection", "suppressOverlap", "divID")
         return attributes([
-            ("c", escape(_custom_name(b))), ("align", b.align if b.align != "left" else ""),
+            ("c", _custom_name(b)), ("align", b.align if b.align != "left" else ""),
             ("indentLeft", _num(left)), ("indentHanging", _num(hanging)), ("indentRight", _num(right)), ("indentFirst", _num(first)),
             ("tabs", " ".join(map(stop, b.tabs))),
             ("spacingBefore", _num(before)), ("spacingAfter", _num(after)), ("lineSpacing", _num(line)), ("lineRule", rule if rule != "auto" else ""),
             ("dir", m.get("dir")), ("lang", b.lang), ("valign", m.get("valign")), ("shd", m.get("shd")),
             *((k, m.get(k)) for k in ("keepNext", "keepLines", "widowControl", "sectionBreak")),
-            ("revisionAuthor", escape(m.get("revisionAuthor", ""))), ("revisionDate", m.get("revisionDate")),
-            *((k, m.get(k)) for k in further), ("cnfStyle", escape(m.get("cnfStyle", ""))), ("frame", m.get("frame")), ("at", borders(b.borders)),
+            ("revisionAuthor", m.get("revisionAuthor")), ("revisionDate", m.get("revisionDate")),
+            *((k, m.get(k)) for k in further), ("cnfStyle", m.get("cnfStyle")), ("frame", m.get("frame")), ("at", borders(b.borders)),
         ])
 
     def paragraph(self, b: Block, pad: str) -> None:
@@ -164,7 +164,7 @@ class Renderer:
             self.out.append(f"{pad}  </li>\n{pad}</{tag}>\n")
 
     def table(self, t: Block, pad: str) -> None:
-        about = attributes([("c", escape(t.style_name)), ("width", _num(t.width)), ("align", t.align), ("indent", _num(t.offset)), ("cellSpacing", _num(t.cell_spacing)), ("caption", escape(t.caption)), ("summary", escape(t.summary)), ("at", borders(t.borders))])
+        about = attributes([("c", t.style_name), ("width", _num(t.width)), ("align", t.align), ("indent", _num(t.offset)), ("cellSpacing", _num(t.cell_spacing)), ("caption", t.caption), ("summary", t.summary), ("at", borders(t.borders))])
         self.out.append(f'{pad}<table id="{t.id}"{about}>\n')
         for header, cells in t.rows:
             self.out.append(f"{pad}  <tr>\n")
@@ -209,8 +209,8 @@ class Renderer:
         ordered = level.fmt not in (None, "", "bullet")
         tag = "ol" if ordered else "ul"
         kind = level.fmt if ordered else (level.text or "bullet") if level.fmt == "bullet" else "bullet"
-        about = attributes([("start", start if ordered and start > 1 else ""), ("format", escape(level.text) if level.text and "%" in level.text else "")])
-        return tag, kind, f'{tag} type="{kind}"{about}'
+        about = attributes([("start", start if ordered and start > 1 else ""), ("format", level.text if level.text and "%" in level.text else "")])
+        return tag, escape(kind), f'{tag} type="{escape(kind)}"{about}'
 
     def _seed(self, b: Block) -> int:
         """The number a list group starts at; its counter is set unless it runs already."""
@@ -333,7 +333,7 @@ class Renderer:
                 left, right, first, hanging = map(_num, s.indent)
                 put(f'    <s:indent el="p"{of}{attributes([("left", left), ("right", right), ("firstLine", first), ("hanging", hanging)])}/>\n')
             if s.align:
-                put(f'    <s:align el="p"{of} value="{s.align}"/>\n')
+                put(f'    <s:align el="p"{of} value="{escape(s.align)}"/>\n')
             if s.spacing[2] > 0:
                 put(f'    <s:line el="p"{of} value="{s.spacing[2]:.6f}"{attributes([("rule", s.spacing[3])])}/>\n')
         for t in doc.tables:
@@ -341,7 +341,7 @@ class Renderer:
         element = lambda heading: f"h{heading}" if heading > 0 else "p"
         stops = [(b.heading, b.tabs) for story in (doc.body, *doc.headers, *doc.footers) for b in story if b.kind == "paragraph"]
         stops += [(s.heading, s.tabs) for _, s in sorted(doc.styles.items())]
-        lines = [f'    <s:tab el="{element(h)}" pos="{pos:.6f}" align="{align}" leader="{leader}"/>\n' for h, tabs in stops for pos, align, leader in tabs]
+        lines = [f'    <s:tab el="{element(h)}" pos="{pos:.6f}" align="{escape(align)}" leader="{escape(leader)}"/>\n' for h, tabs in stops for pos, align, leader in tabs]
         self.out += dict.fromkeys(lines)
         for key, s in sorted(doc.styles.items()):
             name = s.name or key
@@ -349,7 +349,7 @@ class Renderer:
                 continue
             r, yes, (before, after, line, rule), (left, right, first, hanging) = s.run, lambda on: "true" if on else "", s.spacing, s.indent
             put("    <s:custom" + attributes([
-                ("name", escape(name)), ("type", s.type), ("basedOn", escape(s.based_on)), ("font", escape(r.font)), ("fontEA", escape(r.ea)), ("fontCS", escape(r.cs)),
+                ("name", name), ("type", s.type), ("basedOn", s.based_on), ("font", r.font), ("fontEA", r.ea), ("fontCS", r.cs),
                 ("size", _pt(r.size)), ("sizeCS", _pt(r.size_cs)), ("color", r.color.removeprefix("#")), ("bold", yes(r.b)), ("italic", yes(r.i)), ("underline", r.u),
                 ("strikethrough", yes(r.strike)), ("smallCaps", yes(r.smallcaps)), ("uppercase", yes(r.caps)), ("alignment", s.align),
                 ("spacingBefore", _num(before)), ("spacingAfter", _num(after)), ("lineSpacing", _num(line)), ("lineRule", rule),
@@ -358,9 +358,9 @@ class Renderer:
                 ("cellSpacing", _num(s.cell_spacing)), ("width", _num(s.width)),
             ]) + "/>\n")
         if doc.theme is not None:
-            put("    <s:theme" + attributes((k, v if k in ("fg", "bg") else escape(v)) for k, v in doc.theme.items()) + "/>\n")
+            put("    <s:theme" + attributes(doc.theme.items()) + "/>\n")
         own = [b for b in doc.body if b.kind == "paragraph" and b.align and (b.style_id not in doc.styles or doc.styles[b.style_id].align != b.align)]
-        self.out += dict.fromkeys(f'    <s:align el="{element(b.heading)}" value="{b.align}"/>\n' for b in own)
+        self.out += dict.fromkeys(f'    <s:align el="{element(b.heading)}" value="{escape(b.align)}"/>\n' for b in own)
         put("  </style>\n")
 
     def note(self, n: Note) -> None:
@@ -369,7 +369,7 @@ class Renderer:
             put(f'    <bm id="{escape(n.name)}"/>\n')
             return
         if n.type == "comment":
-            put(f'    <comment id="{n.id}"{attributes([("author", escape(n.author)), ("date", escape(n.date))])}>')
+            put(f'    <comment id="{n.id}"{attributes([("author", n.author), ("date", n.date)])}>')
         else:
             put(f'    <fn id="{n.id}" type="{n.type}"' + (">\n" if n.body else "/>\n"))
         for b in n.body:

@@ -1,9 +1,10 @@
-"""Rules of the rendered XML: errors make it invalid, warnings do not."""
+"""Rules of the rendered XML: errors make it invalid, warnings do not. The texts of both are fixed values."""
 
 from __future__ import annotations
 
+import html
+import re
 from dataclasses import dataclass, field
-from xml.parsers import expat
 
 
 @dataclass
@@ -57,26 +58,39 @@ STYLE = ("page", "gap", "custom", "col", "cols", "align", "line", "tab", "theme"
 NOT_ON_ITEMS = ("indentLeft", "indentRight", "indentFirst", "indentHanging", "spacingBefore", "spacingAfter", "lineSpacing", "lineRule", "align", "keepNext", "keepLines", "widowControl", "shd", "at", "tabs")
 
 
-def _tree(xml: str) -> tuple[list[Node | str], str | None]:
-    """Top-level nodes (text and other tokens as strings) up to the first parse error."""
-    top, stack, parser = [], [], expat.ParserCreate()
-
-    def start(name, attrs):
-        node = Node(name.rpartition(":")[2], {k if k == "xmlns" else k.rpartition(":")[2]: v for k, v in reversed(attrs.items())})
-        (stack[-1].children if stack else top).append(node)
-        stack.append(node)
+_TOKEN = re.compile(r"<!--(?P<comment>.*?)-->|<!\[CDATA\[.*?\]\]>|<\?(?P<pi>.*?)\?>|<!(?P<directive>[^>]*)>|</(?P<end>[^\s>]+)\s*>|<(?P<start>[^\s/>!?][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>|(?P<bad><)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-    def end(_):
-        stack.pop().closed = True
 
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.XmlDeclHandler = lambda *_: top.append("declaration")
-    parser.CommentHandler = lambda _: None if stack else top.append("comment")
-    try:
-        parser.Parse(xml, True)
-    except expat.ExpatError as e:
-        return top, str(e)
-    return top, None
+def _tree(xml: str) -> tuple[list[Node | str], str | None]:
+    """Top-level nodes (text and other tokens as strings) up to the first parse error.
+
+    Not strict: values may stand without quotes, or be left out; signs that are no known
+    entity are text; an end tag closes what is open within its element.
+    """
+    top, stack = [], []
+    for m in _TOKEN.finditer(xml):
+        kind = m.lastgroup if m["bad"] is None else "bad"
+        if m["start"] is not None:
+            pairs = [(k, html.unescape(quoted or single or bare or ("" if "=" in whole else k))) for whole, k, quoted, single, bare in ((a[0], *(x or "" for x in a.groups())) for a in _ATTRIBUTE.finditer(m["attrs"]))]
+            node = Node(m["start"].rpartition(":")[2], {k if k == "xmlns" else k.rpartition(":")[2]: v for k, v in reversed(pairs)}, closed=bool(m["empty"]))
+            (stack[-1].children if stack else top).append(node)
+            if not m["empty"]:
+                stack.append(node)
+        elif m["end"] is not None:
+            name = m["end"].rpartition(":")[2]
+            if all(n.name != name for n in stack):
+                return top, f"unexpected end element </{m['end']}>"
+            while stack:
+                n = stack.pop()
+                n.closed = True
+                if n.name == name:
+                    break
+        elif kind == "bad":
+            return top, "a tag is not closed"
+        elif not stack and (m["comment"] is not None or m["pi"] is not None):
+            top.append("comment" if m["comment"] is not None else "declaration")
+    return top, "unexpected end of input" if stack else None
 
 
 class Verifier:
@@ -117,16 +131,21 @@ class Verifier:
 
     def _sections(self, root: Node) -> None:
         seen = set()
-        for n in root.children:
-            if n.name in ("meta", "style", "write", "notes"):
-                if n.name in seen:
-                    self.errors.append(f"duplicate <{n.name}> element")
-                seen.add(n.name)
-                getattr(self, f"_{n.name}")(n)
-            elif n.name in ("header", "footer"):
-                self._numbered(n)
-            else:
-                self.warns.append(f"unexpected top-level element <{n.name}>")
+
+        def walk(parent: Node) -> None:
+            for n in parent.children:
+                if n.name in ("meta", "style", "write", "notes"):
+                    if n.name in seen:
+                        self.errors.append(f"duplicate <{n.name}> element")
+                    seen.add(n.name)
+                    getattr(self, f"_{n.name}")(n)
+                elif n.name in ("header", "footer"):
+                    self._numbered(n)
+                else:
+                    self.warns.append(f"unexpected top-level element <{n.name}>")
+                    walk(n)  # what is known within it counts
+
+        walk(root)
         if "write" not in seen:
             self.errors.append("missing required <write> element")
         if "style" not in seen:

@@ -9,6 +9,7 @@ paragraph without a list id counts as plain.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
 import zipfile
@@ -24,7 +25,7 @@ DC, TERMS = "{http://purl.org/dc/elements/1.1/}", "{http://purl.org/dc/terms/}"
 CORE = "{http://schemas.openxmlformats.org/package/2006/metadata/core-properties}"
 XML_SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 OFFICE_HREF = "{urn:schemas-microsoft-com:office:office}href"
-TWIPS = 1440.0
+TWIPS, EMU = 1440.0, 914400.0
 
 #: Part names and what they hold.
 PARTS = {
@@ -67,6 +68,8 @@ class Run:
     target: str = ""  # a link's address, a break's type, a note's type, an image's source, a symbol's code
     note_id: int = 0
     alt: str = ""
+    width: float = 0.0  # an image's, in inches
+    height: float = 0.0
     inserted: tuple[str, str] | None = None
     deleted: tuple[str, str] | None = None
 
@@ -159,6 +162,7 @@ class Note:
 @dataclass
 class Document:
     mode: str
+    compat: bool = True
     meta: dict[str, str] = field(default_factory=dict)
     theme: dict[str, str] | None = None
     fonts: dict[str, str] = field(default_factory=dict)
@@ -423,7 +427,8 @@ class Reader:
 
     def runs(self, p, ppr, code: bool, defaults: Run | None, top: bool) -> tuple[list[Run], list[Block]]:
         """Runs come before tracked insertions, deletions, links and directed spans, as each
-        of these kinds is gathered in turn; blocks of text boxes come apart."""
+        of these kinds is gathered in turn (without compat: all in order); blocks of text
+        boxes come apart."""
         doc = self.doc
         seed = Run()
         if ppr is not None:
@@ -449,20 +454,28 @@ class Reader:
                     del boxes[keep:]
             return found
 
-        for r in p.findall(W + "r"):
-            out += atoms(r, top) + tracked(r)
-        for tag, name in (("ins", "inserted"), ("del", "deleted")):
-            for e in p.findall(W + tag):
-                keep = len(boxes)
-                out += [replace(a, **{name: (_get(e, "", "author"), _get(e, "", "date"))}) for r in e.findall(W + "r") for a in atoms(r)]
-                del boxes[keep:]
-        for link in p.findall(W + "hyperlink"):
-            out += self._link(link)
-        for tag in ("dir", "bdo"):
-            for e in p.findall(W + tag):
-                rtl = _get(e, "") == "rtl"
-                for r in e.findall(W + "r"):
-                    out += [replace(a, rtl=a.rtl or rtl) for a in atoms(r)] + tracked(r, rtl)
+        def changed(e, name: str) -> list[Run]:
+            keep = len(boxes)
+            found = [replace(a, **{name: (_get(e, "", "author"), _get(e, "", "date"))}) for r in e.findall(W + "r") for a in atoms(r)]
+            del boxes[keep:]
+            return found
+
+        def directed(e) -> list[Run]:
+            rtl = _get(e, "") == "rtl"
+            return [a for r in e.findall(W + "r") for a in [replace(x, rtl=x.rtl or rtl) for x in atoms(r)] + tracked(r, rtl)]
+
+        kinds = {
+            "r": lambda e: atoms(e, top) + tracked(e), "ins": lambda e: changed(e, "inserted"), "del": lambda e: changed(e, "deleted"),
+            "hyperlink": self._link, "dir": directed, "bdo": directed,
+        }
+        if doc.compat:
+            for tag, of in kinds.items():
+                for e in p.findall(W + tag):
+                    out += of(e)
+        else:
+            for e in p:
+                if (of := kinds.get(e.tag.removeprefix(W))) is not None:
+                    out += of(e)
         return out, boxes
 
     def _atoms(self, r, seed: Run, defaults: Run | None, code: bool, state: dict, ordered: bool) -> tuple[list[Run], list[Block]]:
@@ -481,7 +494,7 @@ class Reader:
             rid = next((v for e in pict.iter() for k, v in e.attrib.items() if k in (R + "id", R + "embed", OFFICE_HREF) and v), "")
             return ([Run("img", target=doc.rels.get(rid) or rid)] if rid else []), []
         if (drawing := r.find(W + "drawing")) is not None:
-            if (box := drawing.find(W + "txbxContent")) is not None:
+            if (box := drawing.find(W + "txbxContent") if doc.compat else next(drawing.iter(W + "txbxContent"), None)) is not None:
                 return [], self.blocks(box)
             return self._image(drawing), []
         if (sym := r.find(W + "sym")) is not None:
@@ -507,7 +520,7 @@ class Reader:
         if cr and before("br", "cr"):
             out.append(Run("br", target="textWrapping"))
         worded_run = overlay(replace(base, text=text), rpr, doc.fonts, True)
-        for tag, sign in (("noBreakHyphen", "¬"), ("softHyphen", "\xad")):
+        for tag, sign in (("noBreakHyphen", "¬" if doc.compat else "\u2011"), ("softHyphen", "\xad")):
             if tag in order:
                 return out + ([worded_run] if text else []) + [overlay(Run(text=sign), rpr, doc.fonts, True)], []
         for tag, kind in (("footnoteReference", "footnote"), ("endnoteReference", "endnote")):
@@ -545,14 +558,17 @@ class Reader:
         return out
 
     def _image(self, drawing) -> list[Run]:
-        place = drawing.find(W + "inline")
-        place = drawing.find(W + "anchor") if place is None else place
+        names = [W + "inline", W + "anchor"] + ([] if self.doc.compat else [WP + "inline", WP + "anchor"])
+        place = next((e for name in names if (e := drawing.find(name)) is not None), None)
         pic = place.find(f"{A}graphic/{A}graphicData/{PIC}pic") if place is not None else None
         if pic is None:
             return []
         blip, about = pic.find(f"{PIC}blipFill/{A}blip"), place.find(WP + "docPr")
         embed = blip.get(R + "embed", "") if blip is not None else ""
-        return [Run("img", target=self.doc.rels.get(embed) or embed, alt=about.get(WP + "descr", "") if about is not None else "")]
+        alt = (about.get(WP + "descr", "") or ("" if self.doc.compat else about.get("descr", ""))) if about is not None else ""
+        size = place.find(WP + "extent")
+        width, height = (int(size.get(k, "").strip() or 0) / EMU for k in ("cx", "cy")) if size is not None else (0.0, 0.0)
+        return [Run("img", target=self.doc.rels.get(embed) or embed, alt=alt, width=width, height=height)]
 
     def table(self, e) -> Block:
         t, pr = Block("table"), e.find(W + "tblPr")
@@ -581,28 +597,22 @@ class Reader:
 
 
 def _merge(table: Block) -> None:
-    """Vertical merges by grid column. A row remembers one restart, its last."""
-    at, restarts = [], {}
-    for k, (_, cells) in enumerate(table.rows):
-        column, places = 0, []
+    """A continuing cell joins the latest restart above it in its grid column. Of a row's
+    restarts only the last can be joined."""
+    open_at: dict[int, Cell] = {}
+    for _, cells in table.rows:
+        column, opened = 0, {}
         for cell in cells:
-            places.append(column)
             if cell.merge == "restart":
-                restarts[k] = [column, 0]
-            column += max(cell.span, 1)
-        at.append(places)
-    for k, (_, cells) in enumerate(table.rows):
-        for cell, column in zip(cells, at[k], strict=True):
-            if cell.merge == "continue":
-                above = next((restarts[j] for j in range(k - 1, -1, -1) if j in restarts and restarts[j][0] == column), None)
-                if above:
-                    above[1] += 1
+                opened = {column: cell}
+            elif cell.merge == "continue":
+                if (above := open_at.get(column)) is not None:
+                    above.row_span = max(above.row_span, 1) + 1
                     cell.omitted = True
                 else:
                     cell.row_span = 2
-    for k, (column, below) in restarts.items():
-        if below:
-            table.rows[k][1][at[k].index(column)].row_span = below + 1
+            column += max(cell.span, 1)
+        open_at |= opened
 
 
 # --- parts ---------------------------------------------------------------------------------
@@ -713,7 +723,66 @@ def unpack(content: bytes) -> tuple[dict[str, bytes], dict[str, bytes]]:
     return known, stories
 
 
-def read(content: bytes, mode: str = "semantic") -> Document:
+def _core(root, doc: Document) -> None:
+    names = {"title": DC, "creator": DC, "created": TERMS, "modified": TERMS, "keywords": CORE, "subject": DC, "description": DC}
+    doc.meta = {k: root.findtext(ns + k) or "" for k, ns in names.items()}
+
+
+def _set_theme(root, doc: Document) -> None:
+    doc.theme, doc.fonts = _theme(root)
+
+
+def _styles(root, doc: Document) -> None:
+    rpr = root.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")
+    default = replace(doc.default, **_fonts(rpr, doc.fonts), color=_get(rpr, "color"))
+    if rpr is not None and rpr.find(W + "sz") is not None:
+        default.size = _int(rpr, "sz") / 2.0
+    styles = {s.get(W + "styleId", ""): _style(s, doc.fonts) for s in root.findall(W + "style")}
+    doc.default, doc.styles = default, styles
+
+
+def _set_numbering(root, doc: Document) -> None:
+    own = Document(doc.mode)
+    _numbering(root, own)
+    doc.levels, doc.abstract = own.levels, own.abstract
+
+
+def _rels(root, doc: Document) -> None:
+    for e in root:
+        if e.tag.rpartition("}")[2] == "Relationship":
+            target = e.get("Target", "")
+            doc.rels[e.get("Id", "")] = target if target.startswith(("http://", "https://", "mailto:")) else f"word/{target}"
+
+
+def _sections(body) -> list[dict[str, float]]:
+    out = []
+    for s in body.findall(W + "sectPr"):
+        sizes = {k: _inch(s, "pgSz", k) for k in ("w", "h")} | {f"m{k[0]}": _inch(s, "pgMar", k) for k in ("top", "bottom", "left", "right", "header", "footer")}
+        wide = _int(s, "cols", "num") > 1
+        out.append(sizes | {"cols": _int(s, "cols", "num") if wide else 0, "space": _inch(s, "cols", "space") if wide else 0.0})
+    return out
+
+
+def _notes(root, kind: str, refs, reader: Reader) -> list[Note]:
+    out = []
+    for e in root.findall(W + kind):
+        if kind == "comment" or _get(e, "", "type") in ("normal", ""):
+            i = _int(e, "", "id")
+            about = {"author": _get(e, "", "author"), "date": _get(e, "", "date")} if kind == "comment" else {}
+            out.append(Note(kind, i, order=refs.get((kind, i), 0), body=reader.blocks(e, paragraphs_only=True), **about))
+    return out
+
+
+def read(content: bytes, mode: str = "semantic", compat: bool = True) -> Document:
+    """compat keeps known gaps: links and changes behind a paragraph's plain runs, a plain
+    sign for the non-breaking hyphen, pictures and text boxes of DrawingML left out."""
+    try:
+        return _read(content, mode, compat)
+    except RecursionError:
+        raise PackageError("main part: nested too deeply") from None
+
+
+def _read(content: bytes, mode: str, compat: bool) -> Document:
     parts, stories = unpack(content or b"")
     if "document" not in parts:
         raise PackageError("the package has no main part")
@@ -721,49 +790,27 @@ def read(content: bytes, mode: str = "semantic") -> Document:
         main = ElementTree.fromstring(parts["document"])
     except ElementTree.ParseError as e:
         raise PackageError(f"main part: {e}") from None
-    doc, reader = Document(mode), None
+    doc = Document(mode, compat=compat)
+    for kind, load in (("core", _core), ("theme", _set_theme), ("styles", _styles), ("numbering", _set_numbering), ("rels", _rels)):
+        if (root := _root(parts, kind)) is not None:
+            with contextlib.suppress(ValueError, OverflowError):  # a number that is none: the part counts as absent
+                load(root, doc)
+    body = main.find(W + "body")
+    body = ElementTree.Element(W + "body") if body is None else body
+    reader = Reader(doc)
+    for name in sorted(stories):
+        try:
+            story = reader.blocks(ElementTree.fromstring(stories[name]))
+        except (ElementTree.ParseError, ValueError, OverflowError):
+            continue
+        (doc.headers if name.startswith("word/header") else doc.footers).append(story)
+    marks, refs = _note_places(body)
+    for kind in ("footnote", "endnote", "comment"):
+        if (root := _root(parts, f"{kind}s")) is not None:
+            with contextlib.suppress(ValueError, OverflowError):
+                doc.notes += _notes(root, kind, refs, reader)
     try:
-        if (core := _root(parts, "core")) is not None:
-            names = {"title": DC, "creator": DC, "created": TERMS, "modified": TERMS, "keywords": CORE, "subject": DC, "description": DC}
-            doc.meta = {k: core.findtext(ns + k) or "" for k, ns in names.items()}
-        if (theme := _root(parts, "theme")) is not None:
-            doc.theme, doc.fonts = _theme(theme)
-        if (styles := _root(parts, "styles")) is not None:
-            rpr = styles.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")
-            doc.default = replace(doc.default, **_fonts(rpr, doc.fonts))
-            if rpr is not None and rpr.find(W + "sz") is not None:
-                doc.default.size = _int(rpr, "sz") / 2.0
-            doc.default.color = _get(rpr, "color")
-            doc.styles = {s.get(W + "styleId", ""): _style(s, doc.fonts) for s in styles.findall(W + "style")}
-        if (numbering := _root(parts, "numbering")) is not None:
-            _numbering(numbering, doc)
-        if (rels := _root(parts, "rels")) is not None:
-            for e in rels:
-                if e.tag.rpartition("}")[2] == "Relationship":
-                    target = e.get("Target", "")
-                    doc.rels[e.get("Id", "")] = target if target.startswith(("http://", "https://", "mailto:")) else f"word/{target}"
-        body = main.find(W + "body")
-        body = ElementTree.Element(W + "body") if body is None else body
-        for s in body.findall(W + "sectPr"):
-            sizes = {k: _inch(s, "pgSz", k) for k in ("w", "h")} | {f"m{k[0]}": _inch(s, "pgMar", k) for k in ("top", "bottom", "left", "right", "header", "footer")}
-            wide = _int(s, "cols", "num") > 1
-            doc.sections.append(sizes | {"cols": _int(s, "cols", "num") if wide else 0, "space": _inch(s, "cols", "space") if wide else 0.0})
-        reader = Reader(doc)
-        for name in sorted(stories):
-            try:
-                story = reader.blocks(ElementTree.fromstring(stories[name]))
-            except ElementTree.ParseError:
-                continue
-            (doc.headers if name.startswith("word/header") else doc.footers).append(story)
-        marks, refs = _note_places(body)
-        for kind in ("footnote", "endnote", "comment"):
-            if (root := _root(parts, f"{kind}s")) is not None:
-                for e in root.findall(W + kind):
-                    if kind == "comment" or _get(e, "", "type") in ("normal", ""):
-                        i = _int(e, "", "id")
-                        about = {"author": _get(e, "", "author"), "date": _get(e, "", "date")} if kind == "comment" else {}
-                        doc.notes.append(Note(kind, i, order=refs.get((kind, i), 0), body=reader.blocks(e, paragraphs_only=True), **about))
-        doc.body = reader.blocks(body, top=True)
+        doc.sections, doc.body = _sections(body), reader.blocks(body, top=True)
         for e in body.findall(W + "bookmarkStart"):
             if name := _get(e, "", "name"):
                 i = _int(e, "", "id")

@@ -1,8 +1,13 @@
 """Packages as Spark rows: scans of package files, minimal packages made from texts, and
 the tables that a package is parsed to.
 
-The parser runs once per package in an Arrow-batched kernel and gives flat rows keyed by
-doc_id; a package must fit one worker, so batches are kept small.
+The parser runs once per package in an Arrow-batched kernel: parsed() gives any of the
+tables as arrays of one row per package, and only those that are asked for are built. A
+package must fit one worker; batches are bounded by their bytes.
+
+Defined results: a package that is null, empty, no ZIP file, malformed or nested too deeply
+is a row of errors() and has no row elsewhere; rows that repeat a doc_id are read each for
+itself; an empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -15,23 +20,55 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.operators import render, verify
 from quire.sources import docx
 
 NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-RUN = "struct<seq:int,kind:string,text:string,bold:boolean,italic:boolean,target:string,inserted:boolean,deleted:boolean>"
-BLOCKS = f"doc_id long, story string, story_id int, block_seq int, kind string, style_id string, style_name string, num_id int, level int, heading_level int, align string, is_quote boolean, is_code boolean, text string, runs array<{RUN}>"
-CELLS = "doc_id long, table_id int, row_idx int, cell_idx int, is_header boolean, grid_col int, grid_span int, row_span int, omitted boolean, text string"
-NOTES = "doc_id long, note_seq int, type string, id int, name string, author string, date string, doc_order int, text string"
-STYLES = "doc_id long, style_id string, name string, type string, based_on string, heading_level int, family string, size_pt double, align string"
-LEVELS = "doc_id long, num_id int, ilvl int, num_fmt string, lvl_text string, start_val int, has_override boolean, ind_left double, ind_hanging double"
+_TABS = "array<struct<pos:double,align:string,leader:string>>"
+_BORDERS = "array<struct<side:string,style:string,size:int,space:int,color:string>>"
+RUN = (
+    "struct<seq:int,kind:string,text:string,bold:boolean,italic:boolean,target:string,inserted:boolean,deleted:boolean,bold_cs:boolean,italic_cs:boolean,underline:string,strike:boolean,"
+    "small_caps:boolean,caps:boolean,vert:string,font:string,font_ea:string,font_cs:string,size:double,size_cs:double,color:string,highlight:string,lang:string,hidden:boolean,rtl:boolean,"
+    "note_id:int,alt:string,width:double,height:double,ins_author:string,ins_date:string,del_author:string,del_date:string>"
+)
+#: What a paragraph writes as it stands, by the name it is written with and by its column.
+MORE = {
+    "dir": "dir", "valign": "valign", "shd": "shading", "keepNext": "keep_next", "keepLines": "keep_lines", "widowControl": "widow_control", "sectionBreak": "section_break",
+    "revisionAuthor": "rev_author", "revisionDate": "rev_date", "suppressAutoHyph": "suppress_auto_hyphens", "snapToGrid": "snap_to_grid", "kinsoku": "kinsoku", "wordWrap": "word_wrap",
+    "overflowPunct": "overflow_punct", "topLinePunct": "top_line_punct", "autoSpaceDE": "auto_space_de", "autoSpaceDN": "auto_space_dn", "textDirection": "text_direction",
+    "suppressOverlap": "suppress_overlap", "divID": "div_id", "cnfStyle": "cnf_style", "frame": "frame",
+}
+#: The tables a package is parsed to: their columns behind doc_id.
+TABLES = {
+    "blocks": "story string, story_id int, block_seq int, kind string, style_id string, style_name string, num_id int, level int, heading_level int, align string, is_quote boolean, is_code boolean, text string, "
+    "sp_before double, sp_after double, line_sp double, line_rule string, ind_left double, ind_right double, ind_first double, ind_hanging double, "
+    f"tabs {_TABS}, lang string, borders {_BORDERS}, {', '.join(f'{c} string' for c in MORE.values())}, table_id int",
+    "runs": f"story string, story_id int, block_seq int, {RUN.removeprefix('struct<').removesuffix('>').replace(':', ' ')}",
+    "tables": f"table_id int, style_name string, width double, indent double, align string, cell_spacing double, caption string, summary string, grid array<double>, borders {_BORDERS}, n_rows int",
+    "cells": f"table_id int, row_idx int, cell_idx int, is_header boolean, grid_col int, grid_span int, row_span int, omitted boolean, text string, valign string, text_dir string, no_wrap boolean, lang string, borders {_BORDERS}",
+    "notes": "note_seq int, type string, id int, name string, author string, date string, doc_order int, text string",
+    "styles": "style_id string, name string, type string, based_on string, heading_level int, family string, size_pt double, align string, font_ea string, font_cs string, size_cs double, color string, "
+    "bold boolean, italic boolean, underline string, strike boolean, small_caps boolean, uppercase boolean, sp_before double, sp_after double, line_sp double, line_rule string, "
+    f"ind_left double, ind_right double, ind_first double, ind_hanging double, tabs {_TABS}, border_w double, border_color string, border_style string, cell_spacing double, width double",
+    "levels": "num_id int, ilvl int, num_fmt string, lvl_text string, start_val int, has_override boolean, ind_left double, ind_hanging double, abstract_id int",
+    "meta": "title string, subject string, author string, created string, modified string, keywords string, description string",
+    "sections": "section_seq int, w_in double, h_in double, mt double, mr double, mb double, ml double, mh double, mf double, cols int, cols_space double",
+    "theme": "font string, font_ea string, font_cs string, fg string, bg string, font_map map<string,string>",
+    "rels": "rid string, target string",
+    "defaults": "family string, font_ea string, font_cs string, size_pt double, color string",
+}
+#: Bytes of packages whose rows are held at once.
+BATCH_BYTES = 4_000_000
 
 
 def prepare(spark: SparkSession) -> None:
     """Workers import this package wherever the driver runs, and get few packages at a time."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +115,7 @@ def from_texts(docs: DataFrame) -> DataFrame:
 def _per_package(packages: DataFrame, schema: str, rows_of) -> DataFrame:
     """rows_of(doc_id, content) gives the tuples of one package."""
     prepare(packages.sparkSession)
-    names = [f.split()[0] for f in _fields(schema)]
+    names = StructType.fromDDL(schema).names
 
     def run(batches):
         for batch in batches:
@@ -88,97 +125,174 @@ def _per_package(packages: DataFrame, schema: str, rows_of) -> DataFrame:
     return packages.select("doc_id", "content").mapInPandas(run, schema)
 
 
-def _fields(schema: str) -> list[str]:
-    out, depth = [""], 0
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return [f.strip() for f in out]
-
-
-def _parsed(content: bytes, mode: str):
+def _parsed(content: bytes, mode: str, compat: bool = True):
     """The document, or None if the package cannot be read: errors() tells why."""
     try:
-        return docx.read(content, mode)
+        return docx.read(content, mode, compat)
     except docx.PackageError:
         return None
 
 
-def errors(packages: DataFrame) -> DataFrame:
-    """doc_id, stage, error of the packages that cannot be read."""
+# --- rows of one document, table by table ------------------------------------------------
 
-    def rows(i, content):
-        try:
-            docx.read(content)
-        except docx.PackageError as e:
-            yield i, "parse", str(e)
 
-    return _per_package(packages, "doc_id long, stage string, error string", rows)
+def _stops(tabs) -> list[dict]:
+    return [{"pos": pos, "align": align, "leader": leader} for pos, align, leader in tabs]
+
+
+def _sides(borders) -> list[dict]:
+    return [{"side": side, "style": style, "size": size, "space": space, "color": color} for side, (style, size, space, color) in borders.items()]
+
+
+def _stories(doc):
+    yield "body", 0, doc.body
+    for name, stories in (("header", doc.headers), ("footer", doc.footers)):
+        for k, story in enumerate(stories, 1):
+            yield name, k, story
+    for n in doc.notes:
+        if n.body:
+            yield n.type, n.id, n.body
+
+
+def _block_rows(doc):
+    for story, k, own in _stories(doc):
+        for seq, b in enumerate(own):
+            yield (
+                story, k, seq, b.kind, b.style_id, b.style_name, b.num_id, b.level, b.heading, b.align, b.quote, b.code, b.plain, *b.spacing, *b.indent,
+                _stops(b.tabs), b.lang, _sides(b.borders), *(b.more.get(name, "") for name in MORE), b.id,
+            )
+
+
+def _run_rows(doc):
+    for story, k, own in _stories(doc):
+        for seq, b in enumerate(own):
+            for n, r in enumerate(b.runs):
+                yield (
+                    story, k, seq, n, r.kind, r.text, r.b, r.i, r.target, r.inserted is not None, r.deleted is not None, r.bcs, r.ics, r.u, r.strike, r.smallcaps, r.caps, r.vert,
+                    r.font, r.ea, r.cs, r.size, r.size_cs, r.color, r.highlight, r.lang, r.hidden, r.rtl, r.note_id, r.alt, r.width, r.height, *(r.inserted or (None, None)), *(r.deleted or (None, None)),
+                )
+
 
+def _cell_rows(doc):
+    for t in doc.tables:
+        for r, (header, own) in enumerate(t.rows):
+            column = 0
+            for k, c in enumerate(own):
+                text = "\n".join(b.plain for b in c.content if b.kind != "table")
+                yield t.id, r, k, header, column, max(c.span, 1), c.row_span, c.omitted, text, c.valign, c.direction, c.no_wrap, c.lang, _sides(c.borders)
+                column += max(c.span, 1)
 
-def blocks(packages: DataFrame, mode: str = "semantic") -> DataFrame:
+
+def _style_rows(doc):
+    for key, s in doc.styles.items():
+        r = s.run
+        yield (
+            key, s.name, s.type, s.based_on, s.heading, r.font, r.size, s.align, r.ea, r.cs, r.size_cs, r.color, r.b, r.i, r.u, r.strike, r.smallcaps, r.caps,
+            *s.spacing, *s.indent, _stops(s.tabs), s.border[0], s.border[1], s.border[2], s.cell_spacing, s.width,
+        )
+
+
+def _level_rows(doc):
+    for (num, k), x in doc.levels.items():
+        yield num, k, x.fmt, x.text, x.start or 0, x.override, *(x.geometry or (0.0, 0.0)), doc.abstract.get(num, -1)
+
+
+_ROWS = {
+    "blocks": _block_rows,
+    "runs": _run_rows,
+    "tables": lambda doc: [(t.id, t.style_name, t.width, t.offset, t.align, t.cell_spacing, t.caption, t.summary, t.grid, _sides(t.borders), len(t.rows)) for t in doc.tables],
+    "cells": _cell_rows,
+    "notes": lambda doc: [(k, n.type, n.id, n.name, n.author, n.date, n.order, "\n".join(b.plain for b in n.body)) for k, n in enumerate(doc.notes)],
+    "styles": _style_rows,
+    "levels": _level_rows,
+    "meta": lambda doc: [tuple(doc.meta.get(k, "") for k in ("title", "subject", "creator", "created", "modified", "keywords", "description"))] if doc.meta else [],
+    "sections": lambda doc: [(k, *(x[c] for c in ("w", "h", "mt", "mr", "mb", "ml", "mh", "mf", "cols", "space"))) for k, x in enumerate(doc.sections)],
+    "theme": lambda doc: [(*(doc.theme[k] for k in ("font", "fontEA", "fontCS", "fg", "bg")), list(doc.fonts.items()))] if doc.theme else [],
+    "rels": lambda doc: list(doc.rels.items()),
+    "defaults": lambda doc: [(doc.default.font, doc.default.ea, doc.default.cs, doc.default.size, doc.default.color)],
+}
+
+
+def parsed(packages: DataFrame, tables: tuple[str, ...] = tuple(TABLES), mode: str = "semantic", compat: bool = True) -> DataFrame:
+    """One row per package, parsed once: doc_id, error (null if it could be read), and each
+    asked table as an array of its rows. Write it to take several tables from one parse."""
+    prepare(packages.sparkSession)
+    fields = {name: StructType.fromDDL(TABLES[name]) for name in tables}
+    schema = "doc_id long, error string" + "".join(f", {name} array<{struct.simpleString()}>" for name, struct in fields.items())
+    names = {name: struct.names for name, struct in fields.items()}
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, errors, rows, size = [], [], {name: [] for name in names}, 0
+
+        def flush():
+            nonlocal ids, errors, rows, size
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind.type) for x, kind in zip((ids, errors, *rows.values()), kinds, strict=True)], schema=kinds)
+            ids, errors, rows, size = [], [], {name: [] for name in names}, 0
+
+        for batch in batches:
+            for i, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = content.as_py()
+                try:
+                    doc, error = docx.read(content, mode, compat), None
+                except docx.PackageError as e:
+                    doc, error = None, str(e)
+                ids.append(i)
+                errors.append(error)
+                for name, columns in names.items():
+                    rows[name].append([dict(zip(columns, row, strict=True)) for row in _ROWS[name](doc)] if doc else [])
+                size += len(content or b"")
+                if size >= BATCH_BYTES:
+                    yield from flush()
+            yield from flush()
+
+    return packages.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, schema)
+
+
+def table(parsed_packages: DataFrame, name: str) -> DataFrame:
+    """One of the tables that parsed() holds, as flat rows."""
+    return parsed_packages.select("doc_id", F.explode(name).alias("_row")).select("doc_id", "_row.*")
+
+
+def errors(packages: DataFrame) -> DataFrame:
+    """doc_id, stage, error of the packages that cannot be read."""
+    return parsed(packages, ()).where("error is not null").select("doc_id", F.lit("parse").alias("stage"), "error")
+
+
+def blocks(packages: DataFrame, mode: str = "semantic", compat: bool = True) -> DataFrame:
     """Blocks of all stories in order; blocks of table cells are in cells()."""
+    return table(parsed(packages, ("blocks",), mode, compat), "blocks")
 
-    def rows(i, content):
-        doc = _parsed(content, mode)
-        stories = [("body", 0, doc.body), *(("header", k, s) for k, s in enumerate(doc.headers, 1)), *(("footer", k, s) for k, s in enumerate(doc.footers, 1)), *((n.type, n.id, n.body) for n in doc.notes if n.body)] if doc else []
-        for story, k, own in stories:
-            for seq, b in enumerate(own):
-                runs = [{"seq": n, "kind": r.kind, "text": r.text, "bold": r.b, "italic": r.i, "target": r.target, "inserted": r.inserted is not None, "deleted": r.deleted is not None} for n, r in enumerate(b.runs)]
-                yield i, story, k, seq, b.kind, b.style_id, b.style_name, b.num_id, b.level, b.heading, b.align, b.quote, b.code, b.plain, runs
 
-    return _per_package(packages, BLOCKS, rows)
+def runs(packages: DataFrame, mode: str = "semantic", compat: bool = True) -> DataFrame:
+    """Inline atoms of the blocks of all stories."""
+    return table(parsed(packages, ("runs",), mode, compat), "runs")
 
 
 def cells(packages: DataFrame, mode: str = "semantic") -> DataFrame:
-    def rows(i, content):
-        doc = _parsed(content, mode)
-        for t in doc.tables if doc else ():
-            for r, (header, own) in enumerate(t.rows):
-                column = 0
-                for k, c in enumerate(own):
-                    yield i, t.id, r, k, header, column, max(c.span, 1), c.row_span, c.omitted, "\n".join(b.plain for b in c.content if b.kind != "table")
-                    column += max(c.span, 1)
-
-    return _per_package(packages, CELLS, rows)
+    return table(parsed(packages, ("cells",), mode), "cells")
 
 
 def notes(packages: DataFrame, mode: str = "semantic") -> DataFrame:
-    def rows(i, content):
-        doc = _parsed(content, mode)
-        for k, n in enumerate(doc.notes if doc else ()):
-            yield i, k, n.type, n.id, n.name, n.author, n.date, n.order, "\n".join(b.plain for b in n.body)
-
-    return _per_package(packages, NOTES, rows)
+    return table(parsed(packages, ("notes",), mode), "notes")
 
 
 def styles(packages: DataFrame) -> DataFrame:
-    def rows(i, content):
-        doc = _parsed(content, "semantic")
-        for key, s in doc.styles.items() if doc else ():
-            yield i, key, s.name, s.type, s.based_on, s.heading, s.run.font, s.run.size, s.align
-
-    return _per_package(packages, STYLES, rows)
+    return table(parsed(packages, ("styles",)), "styles")
 
 
 def levels(packages: DataFrame) -> DataFrame:
-    def rows(i, content):
-        doc = _parsed(content, "semantic")
-        for (num, k), x in doc.levels.items() if doc else ():
-            left, hanging = x.geometry or (0.0, 0.0)
-            yield i, num, k, x.fmt, x.text, x.start or 0, x.override, left, hanging
-
-    return _per_package(packages, LEVELS, rows)
+    return table(parsed(packages, ("levels",)), "levels")
 
 
-def rendered(packages: DataFrame, mode: str = "semantic") -> DataFrame:
+def rendered(packages: DataFrame, mode: str = "semantic", compat: bool = True) -> DataFrame:
     """doc_id, mode, words_xml; packages that cannot be read give no row."""
 
     def rows(i, content):
-        doc = _parsed(content, mode)
+        doc = _parsed(content, mode, compat)
         if doc:
             yield i, mode, render.render(doc)
 
@@ -197,6 +311,24 @@ def verified(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "words_xml").mapInPandas(run, "doc_id long, valid boolean, errors array<string>, warns array<string>")
 
 
+def diagnostics(texts: DataFrame) -> DataFrame:
+    """texts: doc_id, words_xml. One row per finding: doc_id, severity, message, ord."""
+    found = verified(texts)
+    listed = lambda name, column: found.select("doc_id", F.lit(name).alias("severity"), F.posexplode(column).alias("ord", "message"))
+    return listed("error", "errors").unionByName(listed("warning", "warns")).select("doc_id", "severity", "message", "ord")
+
+
+def from_parts(parts: DataFrame) -> DataFrame:
+    """parts: doc_id, parts (array of struct<name, text>). Packages with these parts."""
+    prepare(parts.sparkSession)
+
+    def make(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [package({x["name"]: x["text"] or "" for x in own}) for own in batch["parts"]]})
+
+    return parts.select(F.col("doc_id").cast("long").alias("doc_id"), "parts").mapInPandas(make, "doc_id long, content binary")
+
+
 class DocxBlocks:
     """Table function docx_blocks(content): the body's blocks of one package, none if it cannot be read."""
 

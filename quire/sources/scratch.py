@@ -8,13 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir (tests, a laptop).
+#: Used only where a local session names no spark.checkpoint.dir (tests, a laptop).
 FALLBACK_DIR = "file:///tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, one per application, removed at exit."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", FALLBACK_DIR)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = FALLBACK_DIR
     root = f"{base.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
     if root not in _cleaned:
         _cleaned.add(root)
