@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.operators.render import BUILT_IN
+
 
 def normalize_whitespace(s: Column) -> Column:
     """Line ends as \\n, tabs as spaces, runs of spaces as one, no line ends in front, no
@@ -83,3 +85,21 @@ def hyperlink_target(instruction: Column) -> Column:
 def resolved_target(target: Column) -> Column:
     """Relationship target: web and mail addresses as they are, all else below word/."""
     return F.when(target.rlike("^(https?://|mailto:)"), target).otherwise(F.concat(F.lit("word/"), target))
+
+
+def resolved_font(ascii_: Column, hansi: Column, ascii_theme: Column, hansi_theme: Column, fonts: Column) -> Column:
+    """The font that an rFonts element names, through the theme's map if only keywords stand there.
+    A keyword that the theme does not know names none, and hides the next one."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(filled(ascii_), filled(hansi), F.try_element_at(fonts, F.coalesce(filled(ascii_theme), filled(hansi_theme))))
+
+
+def unless(value: Column, default: Column) -> Column:
+    """The value where it differs from the document's default, else null."""
+    return F.when(~value.eqNullSafe(default), F.nullif(value, F.lit("")))
+
+
+def is_custom_style(style_id: Column, name: Column) -> Column:
+    """Whether a style is listed as custom: its id is no built-in one, nor is its name."""
+    shown = F.coalesce(F.nullif(name, F.lit("")), style_id)
+    return ~style_id.isin(*sorted(BUILT_IN)) & ~shown.isin("Normal", "Default Paragraph Font")

@@ -53,3 +53,31 @@ def first_occurrences(df: DataFrame, doc: list[str], keys: list[str], order: lis
     """Distinct by keys, the first row of each in order."""
     w = Window.partitionBy(*doc, *keys).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+
+
+def first_filled(df: DataFrame, doc: list[str], order: str, value: str) -> DataFrame:
+    """doc, value: the first in order that is neither null nor empty; null if none is."""
+    filled = F.nullif(F.col(value), F.lit(""))
+    return df.groupBy(*doc).agg(F.min_by(filled, F.when(filled.isNotNull(), F.col(order))).alias(value))
+
+
+def tab_overlay(stops: DataFrame, doc: list[str], pos: str, direct: str, order: str, align: str) -> DataFrame:
+    """Tab stops by position: of a position's stops the last own one counts, else the last
+    inherited one; an own stop that clears leaves none."""
+    last = stops.groupBy(*doc, pos).agg(F.max(F.struct(direct, order, align)).alias("_stop"))
+    return last.where(~(F.col("_stop")[direct] & (F.col("_stop")[align] == "clear"))).select(*doc, pos, F.col("_stop")[align].alias(align))
+
+
+def stacked(doc: list[str], order: str, *tables: DataFrame) -> DataFrame:
+    """doc, block (from 0), seq (from 0), line: the tables' lines one table after the other, each in order."""
+    out = None
+    for k, table in enumerate(tables):
+        part = table.select(*doc, F.lit(k).alias("block"), (F.row_number().over(Window.partitionBy(*doc).orderBy(order)) - 1).alias("seq"), "line")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def preorder_ids(nodes: DataFrame, doc: list[str], path: list[str], name: str = "id") -> DataFrame:
+    """Number nodes from 1, a node before those within it: path columns are null below a node's own level."""
+    w = Window.partitionBy(*doc).orderBy(*[F.col(c).asc_nulls_first() for c in path])
+    return nodes.withColumn(name, F.row_number().over(w))
