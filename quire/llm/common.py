@@ -26,6 +26,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until it is none of the columns'."""
+    while name.lower() in map(str.lower, columns):
+        name += "_"
+    return name
+
+
 def in_fold(col: str, n: int, fold: int):
     """Whether crc32 of the id as text, modulo n, is fold; a null id is in none."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % F.lit(n) == fold, F.lit(False))

@@ -20,11 +20,13 @@ A component with more than GROUP_CELLS shingles is cut into blocks, and tasks ge
 of blocks, so a task's memory is bounded whatever the component.
 
 Shingles are 64-bit hashes, compared by all their bits; classes are 128-bit hashes of whole
-sets.
+sets. Joins on a shingle, a class or a label that many rows share go through
+common.join_unique, which takes the most frequent keys apart.
 
 Defined results: null is empty; a text without words has an empty set, no links, and is
 its own component; fewer words than a shingle has make one shingle; a null id belongs to
-its component but is never the component's id; rows that repeat an id each get a row.
+its component but is never the component's id; rows that repeat an id each get a row. Texts
+of any length are read whole; an empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -86,14 +88,17 @@ class Shingles:
         return np.unique(s)
 
 
-def _identity(s: np.ndarray) -> tuple[bytes, int]:
-    """Hash of a set, and its first 8 bytes as the class's key."""
+#: A class: the two halves of the 128-bit hash of its set.
+CLASS = ["high", "low"]
+
+
+def _identity(s: np.ndarray) -> tuple[int, int]:
     digest = hashlib.md5(s.tobytes(), usedforsecurity=False).digest()
-    return digest, int.from_bytes(digest[:8], "little", signed=True)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def classes_of(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """doc_id, row_id (the row's place), n_shingles, key, digest per row."""
+def classes_of(docs: DataFrame, doc_id: str, text: str, words: int, place: str | None = None) -> DataFrame:
+    """doc_id, row_id (the row's place), n_shingles, high, low per row."""
 
     def run(batches):
         of = Shingles(words)
@@ -101,17 +106,16 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
             rows = []
             for i, at, t in zip(batch["doc_id"], batch["row_id"], batch["text"], strict=True):
                 s = of(t)
-                digest, key = _identity(s)
-                rows.append((i, at, len(s), key, digest))
-            out = pd.DataFrame(rows, columns=["doc_id", "row_id", "n_shingles", "key", "digest"])
+                rows.append((i, at, len(s), *_identity(s)))
+            out = pd.DataFrame(rows, columns=["doc_id", "row_id", "n_shingles", *CLASS])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, row_id long, n_shingles long, key long, digest binary")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(place) if place else F.monotonically_increasing_id()).alias("row_id"), F.col(text).cast("string").alias("text"))
+    return slim.mapInPandas(run, "doc_id long, row_id long, n_shingles long, high long, low long")
 
 
 def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> DataFrame:
-    """key, cell (the hash), df: shingles that occur in at least two classes, with each class that has them."""
+    """high, low, cell (the hash), df: shingles that occur in at least two classes, with each class that has them."""
 
     def post(batches):
         of, sets, keys, seen, n = Shingles(words), [], [], set(), 0
@@ -119,7 +123,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         def flush():
             nonlocal sets, keys, seen, n
             if n:
-                all_keys = np.array(keys, dtype="<i8")
+                all_keys = np.array(keys, dtype="<i8").reshape(-1, 2)
                 doc = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
                 s = np.concatenate(sets)
                 shard = ((s >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
@@ -140,9 +144,9 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         for batch in batches:
             for t in batch["text"]:
                 s = of(t)
-                digest, key = _identity(s)
-                if len(s) and digest not in seen:
-                    seen.add(digest)
+                key = _identity(s)
+                if len(s) and key not in seen:
+                    seen.add(key)
                     sets.append(s)
                     keys.append(key)
                     n += len(s)
@@ -152,7 +156,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         cells = np.concatenate([np.frombuffer(x, "<i8") for x in part["cells"]])
-        keys = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(d, "<u2" if 2 * len(c) == 8 * len(d) else "<u4")] for c, d, k in zip(part["cells"], part["doc"], part["keys"], strict=True)])
+        keys = np.concatenate([np.frombuffer(k, "<i8").reshape(-1, 2)[np.frombuffer(d, "<u2" if 2 * len(c) == 8 * len(d) else "<u4")] for c, d, k in zip(part["cells"], part["doc"], part["keys"], strict=True)])
         order = np.argsort(cells, kind="stable")
         cells = cells[order]
         more = np.zeros(len(cells), bool)
@@ -160,18 +164,18 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         more[1:] = same
         more[:-1] |= same
         cells, keys = cells[more], keys[order][more]
-        order = np.lexsort((keys, cells))
+        order = np.lexsort((keys[:, 1], keys[:, 0], cells))
         cells, keys = cells[order], keys[order]
         fresh = np.ones(len(cells), bool)  # one of each (cell, class)
-        fresh[1:] = (cells[1:] != cells[:-1]) | (keys[1:] != keys[:-1])
+        fresh[1:] = (cells[1:] != cells[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)
         cells, keys = cells[fresh], keys[fresh]
         _, at, df = np.unique(cells, return_inverse=True, return_counts=True)
         df = df[at] if len(cells) else np.zeros(0, np.int64)
         kept = df > 1
-        return pd.DataFrame({"key": keys[kept], "cell": cells[kept], "df": df[kept]})
+        return pd.DataFrame({"high": keys[kept, 0], "low": keys[kept, 1], "cell": cells[kept], "df": df[kept]})
 
     lists = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(post, "shard int, cells binary, doc binary, keys binary")
-    return lists.groupBy("shard").applyInPandas(count, "key long, cell long, df long")
+    return lists.groupBy("shard").applyInPandas(count, "high long, low long, cell long, df long")
 
 
 def _needed(n, percent: int):
@@ -179,9 +183,9 @@ def _needed(n, percent: int):
 
 
 def _with_enough(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """rows (key, cell, df) of classes that have enough shared shingles left."""
-    enough = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).join(sizes, "key").where(F.col("m") >= _needed(F.col("n"), percent)).select("key")
-    return rows.join(enough, "key", "left_semi")
+    """rows (class, cell, df) of classes that have enough shared shingles left."""
+    enough = rows.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("m")).join(sizes, CLASS).where(F.col("m") >= _needed(F.col("n"), percent)).select(*CLASS)
+    return rows.join(enough, CLASS, "left_semi")
 
 
 class DivideSkip:
@@ -282,23 +286,24 @@ def _search_task(percent: int):
 
 
 def links_of(docs: DataFrame, rows: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, group_cells: int = GROUP_CELLS) -> DataFrame:
-    """key, label, links: classes that have a partner, a label that linked classes share,
+    """high, low, label, links: classes that have a partner, a label that linked classes share,
     and with how many other classes each is linked. rows: classes_of(), written."""
-    sizes = rows.where("n_shingles > 0").groupBy("key").agg(F.max("n_shingles").alias("n"))
+    sizes = rows.where("n_shingles > 0").groupBy(*CLASS).agg(F.max("n_shingles").alias("n"))
     sizes = common.written(sizes, "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_CELLS))
     shared = _with_enough(common.written(shared_shingles(docs, text, words, shards), "shared"), sizes, percent)
-    again = shared.join(shared.groupBy("cell").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "cell", "left_semi")
+    shared = common.written(shared, "shared-enough")
+    again = common.join_unique(shared, shared.groupBy("cell").agg(F.count(F.lit(1)).alias("left")).where("left > 1"), "cell").drop("left")
     left = _with_enough(common.written(again, "shared-again"), sizes, percent)
-    by_class = left.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("items")).join(sizes, "key")
-    sets = common.written(by_class, "sets")
+    by_class = left.groupBy(*CLASS).agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("items")).join(sizes, CLASS)
+    sets = common.written(by_class.withColumn("key", F.monotonically_increasing_id()), "sets")  # from here on classes have numbers
     # n - size(items) shingles are in no other list and come first in the order
     first = F.col("n") - _needed(F.col("n"), percent) + 1 - (F.col("n") - F.size("items"))
     heads = sets.select("key", F.explode(F.slice("items", 1, first.cast("int"))).alias("item")).select("key", F.col("item.cell").alias("cell"))
     heads = common.written(heads, "heads")
     leaders = heads.groupBy("cell").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    groups = connected(heads.join(leaders, "cell").select(F.col("key").alias("a"), "b"), "groups")
+    groups = connected(common.join_unique(heads, leaders, "cell").select(F.col("key").alias("a"), "b"), "groups")
     dealt = common.written(sets.join(groups, sets["key"] == groups["id"]).select("key", "n", F.col("items.cell").alias("cells"), F.col("label").alias("group")), "dealt")
     weights = dealt.groupBy("group").agg(F.sum(F.size("cells")).alias("weight"))
     tasks = max(1, -(-(dealt.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0]) // TASK_CELLS))
@@ -312,20 +317,23 @@ def links_of(docs: DataFrame, rows: DataFrame, text: str = "text", words: int =
     found = common.written(found, "links").where("links > 0")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     merged = connected(found.select(F.col("key").alias("a"), F.col("root").alias("b")), "linked") if large.limit(1).count() else found.select(F.col("key").alias("id"), F.col("root").alias("label"))
-    return common.written(links.join(merged, links["key"] == merged["id"]).select("key", "label", "links"), "linked-classes")
+    named = links.join(merged, links["key"] == merged["id"]).select("key", "label", "links").join(sets.select("key", *CLASS), "key")
+    return common.written(named.select(*CLASS, "label", "links"), "linked-classes")
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, group_cells: int = GROUP_CELLS) -> DataFrame:
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, group_cells: int = GROUP_CELLS, place: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links (other sets it links
-    with), row_id (its place in docs), kept (it is its component's row with the smallest id)."""
-    rows = common.written(classes_of(docs, doc_id, text, words), "classes")
+    with), row_id (its place in docs, or its number in the column `place`), kept (it is its component's
+    row with the smallest id)."""
+    rows = common.written(classes_of(docs, doc_id, text, words, place), "classes")
     linked = links_of(docs, rows, text, words, percent, group_cells)
     full = rows.where("n_shingles > 0")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
-    classes = full.groupBy("digest").agg(F.first("key").alias("key"), F.min(place).alias("first")).join(linked, "key", "left")
-    label = F.coalesce("label", "key")
-    smallest = classes.groupBy(label.alias("label")).agg(F.min("first").alias("first"))
-    of_class = classes.select("digest", label.alias("label"), F.coalesce("links", F.lit(0)).alias("n_links")).join(smallest, "label").drop("label")
-    some = full.join(of_class, "digest").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "n_links", "row_id", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
+    spot = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    classes = common.written(full.groupBy(*CLASS).agg(F.min(spot).alias("first")).join(linked, CLASS, "left"), "joined-classes")
+    paired, alone = classes.where("label is not null"), classes.where("label is null")
+    smallest = paired.groupBy("label").agg(F.min("first").alias("first"))
+    paired = common.join_unique(paired.select(*CLASS, "label", "links"), smallest, "label").select(*CLASS, F.col("links").alias("n_links"), "first")
+    of_class = common.written(paired.unionByName(alone.select(*CLASS, F.lit(0).cast("long").alias("n_links"), "first")), "labelled-classes")
+    some = common.join_unique(full, of_class, CLASS).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "n_links", "row_id", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
     none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "row_id", F.lit(True).alias("kept"))
     return some.unionByName(none)
