@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.registry import query, read
 from quire.sources import packages
+from quire.sources.scratch import scratch, written
 
 NS = f'xmlns:w="{packages.NS}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 A = "http://schemas.openxmlformats.org/drawingml/2006/main"
@@ -105,6 +106,33 @@ def docx_span(spark, sf_dir):
     return packages.rendered(made).select("doc_id", run.alias("run"), F.regexp_extract("words_xml", r'<p[^>]* lang="([^"]*)"', 1).alias("lang"))
 
 
+@query("""
+SELECT p_partkey AS doc_id, 'new' AS style_name, t.text, p_brand AS font, t.text = 'a' AND p_partkey % 2 = 0 AS bold, t.text = 'a' AND p_partkey % 2 = 0 AS italic, CASE t.text WHEN 'b' THEN 'single' ELSE '' END AS underline
+FROM part, (VALUES ('a'), ('b')) t(text)
+""")
+def docx_run_defaults(spark, sf_dir):
+    """Of styles with one id the last counts; its fonts reach every run, its marks and the
+    paragraph's only runs without properties, and only where the paragraph has some."""
+    style = lambda name, font: _x(f'<w:style w:type="paragraph" w:styleId="S"><w:name w:val="{name}"/><w:rPr><w:rFonts w:ascii="', font, '"/><w:b/></w:rPr></w:style>')
+    props = _x('<w:pStyle w:val="S"/>', _if("p_partkey % 2 = 0", "<w:rPr><w:i/></w:rPr>"))
+    body = _p("<w:r><w:t>a</w:t></w:r>", _text("b", props='<w:u w:val="single"/>'), props=props)
+    held = packages.parsed(_packages(read(spark, sf_dir, "part"), "p_partkey", body, word___styles__xml=_styles(style("old", "Old"), style("new", F.col("p_brand")))), ("blocks", "runs"))
+    names = packages.table(held, "blocks").select("doc_id", "style_name")
+    return packages.table(held, "runs").select("doc_id", "text", "font", "bold", "italic", "underline").join(names, "doc_id")
+
+
+@query("""
+SELECT c_custkey AS doc_id, 'paragraph' AS kind, c_name AS text FROM customer
+""")
+def docx_files(spark, sf_dir):
+    """Packages written as files, found again by a scan of their folder, and read."""
+    folder = scratch(spark, "files")
+    made = _packages(read(spark, sf_dir, "customer"), "c_custkey", _p(_text(F.col("c_name"))))
+    written(packages.write_files(made, folder), "files-written")
+    found = packages.scan(spark, folder).select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long").alias("doc_id"), "content")
+    return packages.blocks(found).select("doc_id", "kind", "text")
+
+
 @query("""
 SELECT p_partkey AS doc_id, CAST(n AS INT) AS seq, kind, text, target FROM part, LATERAL (
   SELECT 0 AS n, 'br' AS kind, '' AS text, 'page' AS target WHERE p_partkey % 2 = 0 UNION ALL
@@ -218,7 +246,7 @@ def docx_paragraph_attributes(spark, sf_dir):
     props = _x(
         _if(k % 4 < 3, '<w:jc w:val="', F.when(k % 4 == 0, "center").when(k % 4 == 1, "right").otherwise("start"), '"/>'), _if(k % 4 == 3, '<w:jc w:val="left"/>'),
         '<w:ind w:left="', z * 20, '"', F.when(k % 2 == 0, ' w:hanging="360"').otherwise(' w:firstLine="300"'), "/>",
-        _if(k % 3 == 0, '<w:tabs><w:tab w:pos="', z + 100, '" w:val="right" w:leader="dot"/><w:tab w:pos="', z, '"/><w:tab w:val="clear" w:pos="5"/></w:tabs>'), _if(k % 3 == 1, '<w:tabs><w:tab w:pos="200" w:val="center"/></w:tabs>'),
+        _if(k % 3 == 0, '<w:tabs><w:tab w:pos="', z + 100, '" w:val="right" w:leader="dot"/><w:tab w:pos="', z, '"/><w:tab w:val="clear" w:pos="7777"/></w:tabs>'), _if(k % 3 == 1, '<w:tabs><w:tab w:pos="200" w:val="center"/></w:tabs>'),
         '<w:spacing w:before="', z, '" w:line="360" w:lineRule="', F.when(k % 2 == 0, "auto").otherwise("exact"), '"/>',
         _if(k % 5 == 0, "<w:bidi/>"), _if(k % 7 == 0, '<w:lang w:val="fr"/>'), _if(k % 5 == 1, '<w:textAlignment w:val="top"/>'), _if(k % 5 == 2, '<w:shd w:val="clear" w:fill="EEEEEE"/>'),
         bit("keepNext", 1), bit("keepLines", 2), bit("widowControl", 4), _if(k % 6 == 0, "<w:sectPr/>"), _if(k % 6 == 1, '<w:sectPr><w:type w:val="continuous"/></w:sectPr>'),

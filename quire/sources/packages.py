@@ -78,6 +78,28 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
+def write_files(packages: DataFrame, folder: str) -> DataFrame:
+    """Write each package to folder as <doc_id>.docx; doc_id, path of what was written. A file is
+    written under a name of its own and then renamed, so a task that runs again leaves the same."""
+    prepare(packages.sparkSession)
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for i, content in zip(batch["doc_id"], batch["content"], strict=True):
+                with system.open_output_stream(f"{base}/.{i}.{attempt}") as f:
+                    f.write(content)
+                system.move(f"{base}/.{i}.{attempt}", f"{base}/{i}.docx")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "path": [f"{folder}/{i}.docx" for i in batch["doc_id"]]})
+
+    return packages.select("doc_id", "content").mapInPandas(write, "doc_id long, path string")
+
+
 def package(parts: dict[str, str]) -> bytes:
     """A ZIP package of named parts, the same bytes for the same parts."""
     out = io.BytesIO()
