@@ -13,7 +13,7 @@ import contextlib
 import io
 import re
 import zipfile
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -40,6 +40,13 @@ class PackageError(ValueError):
     pass
 
 
+def _with(x, **put):
+    """A copy of a dataclass's instance with other values."""
+    new = object.__new__(type(x))
+    new.__dict__.update(x.__dict__, **put)
+    return new
+
+
 @dataclass
 class Run:
     """An inline atom. kind: text, tab, br, note, link, img or sym."""
@@ -249,28 +256,35 @@ def _fonts(rpr, theme: dict[str, str]) -> dict[str, str]:
     return {k: v for k, v in out.items() if v}
 
 
+#: A run's properties: the toggles, and what is taken as it stands.
+_TOGGLES = tuple((name, W + tag) for name, tag in (("b", "b"), ("bcs", "bCs"), ("i", "i"), ("ics", "iCs"), ("smallcaps", "smallCaps"), ("caps", "caps"), ("strike", "strike"), ("strike", "dstrike")))
+_PLAIN = tuple((name, W + name) for name in ("u", "color", "highlight", "lang"))
+
+
 def overlay(run: Run, rpr, theme: dict[str, str], vanish_clears: bool) -> Run:
     """run with the properties of an rPr element over it."""
     if rpr is None:
         return run
-    put = dict(_fonts(rpr, theme))
-    for name, tag in (("b", "b"), ("bcs", "bCs"), ("i", "i"), ("ics", "iCs"), ("smallcaps", "smallCaps"), ("caps", "caps")):
-        if _on(rpr, tag):
+    own = {}
+    for e in rpr:
+        own.setdefault(e.tag, e.get(W + "val", ""))
+    put = _fonts(rpr, theme) if W + "rFonts" in own else {}
+    for name, tag in _TOGGLES:
+        if own.get(tag, "0") not in ("0", "false"):
             put[name] = True
-    if _on(rpr, "strike") or _on(rpr, "dstrike"):
-        put["strike"] = True
-    for name, tag in (("u", "u"), ("color", "color"), ("highlight", "highlight"), ("lang", "lang")):
-        if rpr.find(W + tag) is not None:
-            put[name] = _get(rpr, tag)
-    if (vert := _get(rpr, "vertAlign")) in ("superscript", "subscript"):
-        put["vert"] = vert
-    for name, tag in (("size", "sz"), ("size_cs", "szCs")):
-        if rpr.find(W + tag) is not None:
-            put[name] = _int(rpr, tag) / 2.0
-    if vanish_clears or _on(rpr, "vanish"):
-        put["hidden"] = _on(rpr, "vanish")
-    put["rtl"] = _on(rpr, "rtl")
-    return replace(run, **put)
+    for name, tag in _PLAIN:
+        if tag in own:
+            put[name] = own[tag]
+    if own.get(W + "vertAlign") in ("superscript", "subscript"):
+        put["vert"] = own[W + "vertAlign"]
+    for name, tag in (("size", W + "sz"), ("size_cs", W + "szCs")):
+        if tag in own:
+            put[name] = int(own[tag].strip() or 0) / 2.0
+    vanish = own.get(W + "vanish", "0") not in ("0", "false")
+    if vanish_clears or vanish:
+        put["hidden"] = vanish
+    put["rtl"] = own.get(W + "rtl", "0") not in ("0", "false")
+    return _with(run, **put)
 
 
 _HEADING = re.compile(r"heading\+?0*([1-9])\Z")
@@ -394,7 +408,7 @@ class Reader:
             self._further(block, ppr)
             if (rpr := ppr.find(W + "rPr")) is not None:
                 seed = doc.styles[block.style_id].run if block.style_id in doc.styles else Run()
-                defaults = overlay(replace(seed), rpr, doc.fonts, False)
+                defaults = overlay(_with(seed), rpr, doc.fonts, False)
         block.quote = block.style_name in QUOTES or any(s.name in QUOTES for s in doc.chain(block.style_id))
         known = block.style_name.lower() in CODE_NAMES or block.style_id.lower() in CODE_IDS
         fonts = [r.find(f"{W}rPr/{W}rFonts") for r in p.findall(W + "r")]
@@ -448,62 +462,61 @@ class Reader:
         def tracked(parent, rtl: bool = False) -> list[Run]:
             found = []
             for tag, name in (("ins", "inserted"), ("del", "deleted")):
-                for e in parent.findall(W + tag)[-1:]:
+                for e in [c for c in parent if c.tag == W + tag][-1:]:
                     keep = len(boxes)
-                    found += [replace(a, rtl=a.rtl or rtl, **{name: (_get(e, "", "author"), _get(e, "", "date"))}) for r in e.findall(W + "r") for a in atoms(r)]
+                    found += [_with(a, rtl=a.rtl or rtl, **{name: (_get(e, "", "author"), _get(e, "", "date"))}) for r in e.findall(W + "r") for a in atoms(r)]
                     del boxes[keep:]
             return found
 
         def changed(e, name: str) -> list[Run]:
             keep = len(boxes)
-            found = [replace(a, **{name: (_get(e, "", "author"), _get(e, "", "date"))}) for r in e.findall(W + "r") for a in atoms(r)]
+            found = [_with(a, **{name: (_get(e, "", "author"), _get(e, "", "date"))}) for r in e.findall(W + "r") for a in atoms(r)]
             del boxes[keep:]
             return found
 
         def directed(e) -> list[Run]:
             rtl = _get(e, "") == "rtl"
-            return [a for r in e.findall(W + "r") for a in [replace(x, rtl=x.rtl or rtl) for x in atoms(r)] + tracked(r, rtl)]
+            return [a for r in e.findall(W + "r") for a in [_with(x, rtl=x.rtl or rtl) for x in atoms(r)] + tracked(r, rtl)]
 
         kinds = {
             "r": lambda e: atoms(e, top) + tracked(e), "ins": lambda e: changed(e, "inserted"), "del": lambda e: changed(e, "deleted"),
             "hyperlink": self._link, "dir": directed, "bdo": directed,
         }
+        parts = [(kind, e) for e in p if (kind := e.tag.removeprefix(W)) in kinds]
         if doc.compat:
-            for tag, of in kinds.items():
-                for e in p.findall(W + tag):
-                    out += of(e)
-        else:
-            for e in p:
-                if (of := kinds.get(e.tag.removeprefix(W))) is not None:
-                    out += of(e)
+            order = list(kinds)
+            parts.sort(key=lambda part: order.index(part[0]))
+        for kind, e in parts:
+            out += kinds[kind](e)
         return out, boxes
 
     def _atoms(self, r, seed: Run, defaults: Run | None, code: bool, state: dict, ordered: bool) -> tuple[list[Run], list[Block]]:
-        doc, rpr = self.doc, r.find(W + "rPr")
-        if mark := r.findall(W + "fldChar"):
-            kind = _get(mark[-1], "", "fldCharType")
+        doc, rpr, tags = self.doc, r.find(W + "rPr"), {e.tag for e in r}
+        if W + "fldChar" in tags:
+            kind = _get(r.findall(W + "fldChar")[-1], "", "fldCharType")
             if kind == "separate":
                 state["shown"] = True
             elif kind in ("begin", "end"):
                 state.update(target="", shown=False)
             return [], []
-        if instructions := r.findall(W + "instrText"):
-            state["target"] = state["target"] or hyperlink_target("".join(i.text or "" for i in instructions))
+        if W + "instrText" in tags:
+            state["target"] = state["target"] or hyperlink_target("".join(i.text or "" for i in r.findall(W + "instrText")))
             return [], []
-        if (pict := r.find(W + "pict")) is not None:
-            rid = next((v for e in pict.iter() for k, v in e.attrib.items() if k in (R + "id", R + "embed", OFFICE_HREF) and v), "")
+        if W + "pict" in tags:
+            rid = next((v for e in r.find(W + "pict").iter() for k, v in e.attrib.items() if k in (R + "id", R + "embed", OFFICE_HREF) and v), "")
             return ([Run("img", target=doc.rels.get(rid) or rid)] if rid else []), []
-        if (drawing := r.find(W + "drawing")) is not None:
+        if W + "drawing" in tags:
+            drawing = r.find(W + "drawing")
             if (box := drawing.find(W + "txbxContent") if doc.compat else next(drawing.iter(W + "txbxContent"), None)) is not None:
                 return [], self.blocks(box)
             return self._image(drawing), []
-        if (sym := r.find(W + "sym")) is not None:
-            return [Run("sym", target=_get(sym, "", "char"))], []
+        if W + "sym" in tags:
+            return [Run("sym", target=_get(r, "sym", "char"))], []
         texts = r.findall(W + "t") or r.findall(W + "delText")
-        text = "".join(t.text or "" for t in texts)
+        text = "".join([t.text or "" for t in texts])
         if doc.mode == "semantic" and not code and not any(t.get(XML_SPACE) == "preserve" for t in texts):
             text = clean_space(text)
-        base = replace(defaults) if defaults is not None and rpr is None else seed
+        base = _with(defaults) if defaults is not None and rpr is None else seed
         order = [e.tag.removeprefix(W) for e in r]
         worded = bool(texts)
         first_text = next((k for k, tag in enumerate(order) if tag in ("t", "delText")), len(order))
@@ -512,14 +525,14 @@ class Reader:
         kind_of_break = (_get(br[-1], "", "type") or "textWrapping") if br else ""
         out = []
         if tab and before("tab"):
-            out.append(replace(base, kind="tab"))
+            out.append(_with(base, kind="tab"))
             base = Run()
         if br and before("br", "cr"):
-            out.append(replace(base, kind="br", target=kind_of_break))
+            out.append(_with(base, kind="br", target=kind_of_break))
             base = Run()
         if cr and before("br", "cr"):
             out.append(Run("br", target="textWrapping"))
-        worded_run = overlay(replace(base, text=text), rpr, doc.fonts, True)
+        worded_run = overlay(_with(base, text=text), rpr, doc.fonts, True)
         for tag, sign in (("noBreakHyphen", "¬" if doc.compat else "\u2011"), ("softHyphen", "\xad")):
             if tag in order:
                 return out + ([worded_run] if text else []) + [overlay(Run(text=sign), rpr, doc.fonts, True)], []
@@ -529,7 +542,7 @@ class Reader:
         if not text:
             return out, []
         if state["shown"] and state["target"]:
-            worded_run = replace(worded_run, kind="link", target=state["target"])
+            worded_run = _with(worded_run, kind="link", target=state["target"])
         out.append(worded_run)
         if tab and not before("tab"):
             out.append(overlay(Run("tab"), rpr, doc.fonts, True))
@@ -549,12 +562,12 @@ class Reader:
             like = Run("link", target=target, b=_on(rpr, "b"), i=_on(rpr, "i"), u="" if u == "none" else u, strike=_on(rpr, "strike") or _on(rpr, "dstrike"))
             after = []
             if r.find(W + "tab") is not None:
-                after.append(replace(like, kind="tab"))
+                after.append(_with(like, kind="tab"))
             if br := r.findall(W + "br"):
-                after.append(replace(like, kind="br", target=_get(br[-1], "", "type") or "textWrapping"))
+                after.append(_with(like, kind="br", target=_get(br[-1], "", "type") or "textWrapping"))
             if r.find(W + "cr") is not None:
-                after.append(replace(like, kind="br", target="textWrapping"))
-            out += ([replace(like, text=text)] if text else []) + after
+                after.append(_with(like, kind="br", target="textWrapping"))
+            out += ([_with(like, text=text)] if text else []) + after
         return out
 
     def _image(self, drawing) -> list[Run]:
@@ -661,7 +674,7 @@ def _numbering(root, doc: Document) -> None:
         num = _int(e, "", "numId")
         doc.abstract[num] = _int(e, "abstractNumId") if e.find(W + "abstractNumId") is not None else -1
         for k, level in kinds.get(doc.abstract[num], {}).items():
-            doc.levels[num, k] = replace(level)
+            doc.levels[num, k] = _with(level)
         for o in e.findall(W + "lvlOverride"):
             if o.find(W + "startOverride") is not None:
                 level = doc.levels.setdefault((num, _int(o, "", "ilvl")), Level())
@@ -734,7 +747,7 @@ def _set_theme(root, doc: Document) -> None:
 
 def _styles(root, doc: Document) -> None:
     rpr = root.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")
-    default = replace(doc.default, **_fonts(rpr, doc.fonts), color=_get(rpr, "color"))
+    default = _with(doc.default, **_fonts(rpr, doc.fonts), color=_get(rpr, "color"))
     if rpr is not None and rpr.find(W + "sz") is not None:
         default.size = _int(rpr, "sz") / 2.0
     styles = {s.get(W + "styleId", ""): _style(s, doc.fonts) for s in root.findall(W + "style")}
