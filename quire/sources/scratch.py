@@ -48,4 +48,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a table that written() gave, once what is made from it has been written."""
+    _remove(table.sparkSession, table._scratch_path)
