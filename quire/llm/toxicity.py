@@ -5,12 +5,14 @@ hashes. Each coordinate has a learning rate of its own and L1 keeps most weights
 so what is broadcast is a short sorted list of hashes and weights.
 
 The classifier is fitted on the driver on at most TRAIN_DOCS labelled rows, those whose
-id has the smallest hash, over the hashes that at least MIN_DOCS of them have. Scoring
-covers all rows and whole texts.
+id has the smallest hash, with TRAIN_FEATURES features at most, over the hashes that at
+least MIN_DOCS of them have. Scoring covers all rows and whole texts.
 
 Defined results: null and empty texts get the score of the bias alone; a label that is
 null is not learned; of labels that repeat an id the largest counts; with no labels at
-all every score is 0.5 and nothing is predicted toxic.
+all every score is 0.5 and nothing is predicted toxic. Of documents that repeat a labelled
+id one is learned; each is scored. An empty table gives no rows. Extra columns pass through,
+whatever their names; the score's own name must not be among them.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 TRAIN_DOCS, MIN_DOCS = 12_000, 3
+#: Features of the texts that are learned, 4 bytes each on the driver.
+TRAIN_FEATURES = 16_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 8.0, 1.0, 10
 CACHE_WORDS = 300_000
 #: Odd multipliers of the hashes of one word, the second word of a pair, and of a skip pair.
@@ -82,6 +88,14 @@ def labelled(labels: DataFrame, label: str, fold, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, label, text, one row for each id of the sample that docs has: of rows that
+    repeat an id, the text with the smallest hash. A task sends on as many texts as the sample has rows."""
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample is bounded: rows of two numbers
+    own = F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("own")
+    return joined.groupBy("doc_id").agg(own).select("doc_id", "own.label", "own.text")
+
+
 def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Where the known ones of found are in known; both sorted."""
     if not len(known):
@@ -92,15 +106,22 @@ def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """sample: doc_id, label, bounded. Sorted hashes, their weights, and the bias."""
+    """sample: doc_id, label, bounded. Sorted hashes, their weights, and the bias. Whole texts
+    are learned, as many as have TRAIN_FEATURES features together, by the same hash of the id."""
 
     def features(frames):
         of = Features()
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "at": [of(x).tobytes() for x in frame["text"]]})
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows of two numbers
-    rows = joined.mapInPandas(features, "doc_id long, label int, at binary").toArrow().combine_chunks()
+            at = [of(x) for x in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "n": list(map(len, at)), "at": [x.tobytes() for x in at]})
+
+    made = common.written(labelled_texts(docs, sample).mapInPandas(features, "doc_id long, label int, n long, at binary"), "label-features")
+    sizes = sorted(((r["doc_id"] * 0x9E3779B1) % 2**32, r["doc_id"], r["n"]) for r in made.select("doc_id", "n").collect())  # TRAIN_DOCS rows of two numbers
+    total = np.cumsum([n for *_, n in sizes])
+    if len(sizes) and total[-1] > TRAIN_FEATURES:
+        some = [(i,) for (_, i, _), n in zip(sizes, total, strict=True) if n <= TRAIN_FEATURES]
+        made = made.join(F.broadcast(docs.sparkSession.createDataFrame(some, "doc_id long")), "doc_id", "left_semi")
+    rows = made.select("doc_id", "label", "at").toArrow().combine_chunks()
     if not len(rows):
         return np.zeros(0, np.uint32), np.zeros(0), 0.0
     ids, labels = rows["doc_id"].to_numpy(), rows["label"].to_numpy()
@@ -142,4 +163,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
             got = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(got, pa.float64())], names=[*columns, name])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, `{name}` double")
+    return docs.select(*columns, F.col(text).alias(common.unused(columns, "_text"))).mapInArrow(run, f"{kinds}, `{name}` double")
