@@ -12,7 +12,9 @@ at most TRAIN_DOCS labelled rows, those whose id has the smallest hash.
 
 Defined results: null and empty texts are scored as a zero vector; labels that are null
 are not learned; with no labels, or only one kind of them, every score is their share
-(0.5 with none).
+(0.5 with none). Of documents that repeat a labelled id one is learned; each is scored.
+Texts of any length are read whole. An empty table gives no rows. Extra columns pass
+through, whatever their names; the score's own name must not be among them.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+from .toxicity import labelled_texts
+
 BUCKETS, WIDTH, NONZERO, WINDOW = 2**14, 48, 4, 2
 TRAIN_DOCS = 16_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
@@ -172,8 +177,7 @@ def fit(docs: DataFrame, sample: DataFrame, vectors: np.ndarray) -> Network:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "x": [pooled(of, v, t).astype("<f4").tobytes() for t in frame["text"]]})
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows of two numbers
-    rows = joined.mapInPandas(pool, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = labelled_texts(docs, sample).mapInPandas(pool, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(-1, 2 * WIDTH).astype(float)
     return Network().fit(x, rows["label"].to_numpy(float))
 
@@ -192,4 +196,4 @@ def score(docs: DataFrame, network: Network, vectors: np.ndarray, text: str = "t
             x = np.array([pooled(of, v, t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, 2 * WIDTH)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(net.scores(x), pa.float64())], names=[*columns, name])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, `{name}` double")
+    return docs.select(*columns, F.col(text).alias(common.unused(columns, "_text"))).mapInArrow(run, f"{kinds}, `{name}` double")
