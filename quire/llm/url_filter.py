@@ -70,8 +70,8 @@ def _strength(groups: DataFrame, n: int, good: int) -> float:
 
 
 def reputation(pages: DataFrame) -> DataFrame:
-    """pages: host, good (1, 0 or null). Per host: domain, suffix, n, mean, bound."""
-    counted = pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good"))
+    """pages: host, good (1, 0 or null). Per host: rows, domain, suffix, n, mean, bound."""
+    counted = pages.groupBy("host").agg(F.count(F.lit(1)).alias("rows"), F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good"))
     hosts = levels(common.written(counted, "hosts"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     domains = hosts.groupBy("domain").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -82,14 +82,17 @@ def reputation(pages: DataFrame) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("domain", shrunk(of_domain, F.col("suffix_mean")).alias("domain_mean"))
     mean = shrunk(of_host, F.col("domain_mean"))
     sd = F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(of_host) + 1))
-    return hosts.join(domains, "domain").select("host", "domain", "suffix", "n", mean.alias("mean"), (mean - F.lit(Z) * sd).alias("bound"))
+    return hosts.join(domains, "domain").select("host", "rows", "domain", "suffix", "n", mean.alias("mean"), (mean - F.lit(Z) * sd).alias("bound"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
     """pages: page_id, url, good (1, 0 or null). Per page: page_id, host, path, rule, verdict, mean, bound."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "good")
-    judged = rows.drop("good").join(reputation(rows.select("host", "good")), "host")
+    held = common.written(reputation(rows.select("host", "good")).select("host", "rows", "mean", "bound"), "reputation")
+    hot = F.broadcast(held.orderBy(F.desc("rows"), "host").limit(common.HOT_KEYS))  # hosts of many rows, a bounded number
+    asked = rows.drop("good")
+    judged = asked.join(hot, "host").unionByName(asked.join(hot, "host", "left_anti").join(held, "host")).drop("rows")
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") >= threshold, "allow").otherwise("block")
     return judged.withColumn("_rule", rule).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), method).alias("verdict"), "mean", "bound")
@@ -102,5 +105,5 @@ def joined_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     number = F.expr("try_cast(_n as bigint)")
     numbered = pages.select("page_id", "url", F.regexp_extract(path, r"(\d+)(?:\.html)?/?$", 1).alias("_n")).withColumn("_doc", number).drop("_n")
     quality = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").alias("good"))
-    return numbered.join(quality, "_doc", "left").select("page_id", "url", "good")
+    return common.join_unique(numbered, quality, "_doc", "left").select("page_id", "url", "good")
 
