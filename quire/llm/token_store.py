@@ -11,7 +11,9 @@ file is closed when it has ROLL ids, and each is written under a name of its own
 renamed, so a task that runs again leaves the same file.
 
 Defined results: null text is empty (one end id), null ids come first, rows that repeat
-an id follow each other. An empty table gives no files and no rows.
+an id follow each other by a hash of the text, so an id that many rows share is spread over
+partitions. Texts of any length are written whole. An empty table gives no files and no
+rows. Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -31,6 +33,8 @@ MAGIC = b"DAC1"
 RANK_BITS = 512
 #: Ids after which a file is closed.
 ROLL = 4_000_000
+#: Most partitions of a read; a file is held by its reader, one at a time.
+READ_PARTS = 10_000
 
 
 def dac_encode(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -141,7 +145,11 @@ def _put(folder: str, name: str, attempt: str, data: bytes) -> None:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write docs in ascending id order; returns the manifest: part, seq, name, n_docs, n_ids, base."""
+    """Write docs in ascending id order; returns the manifest: part, seq, name, n_docs, n_ids, base.
+
+    A writer knows the ids before each of its files; what its partition's first file
+    starts at are running sums over partitions, one number a partition on the driver.
+    """
 
     def write(batches):
         from pyspark import TaskContext
@@ -149,13 +157,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool
         context = TaskContext.get()
         part, attempt, seq = context.partitionId(), str(context.taskAttemptId()), 0
         enc = tokens.encoder(tokenizer, keeps_space)
-        ids, lengths, got, total = [], [], [], 0
+        ids, lengths, got, total, before = [], [], [], 0, 0
 
         def close():
-            nonlocal ids, lengths, got, total, seq
+            nonlocal ids, lengths, got, total, seq, before
             name = f"part-{part:06d}-{seq:05d}.dac"
             _put(folder, name, attempt, file_bytes(ids, lengths, np.concatenate(got)))
-            row = pd.DataFrame([{"part": part, "seq": seq, "name": name, "n_docs": len(ids), "n_ids": total}])
+            row = pd.DataFrame([{"part": part, "seq": seq, "name": name, "n_docs": len(ids), "n_ids": total, "before": before}])
+            before += total
             ids, lengths, got, total, seq = [], [], [], 0, seq + 1
             return row
 
@@ -173,10 +182,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool
             yield close()
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = common.written(ordered.mapInPandas(write, "part int, seq int, name string, n_docs long, n_ids long"), "token-manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    ordered = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    manifest = common.written(ordered.mapInPandas(write, "part int, seq int, name string, n_docs long, n_ids long, before long"), "token-manifest")
+    totals = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row per partition
+    bases, total = [], 0
+    for r in totals:
+        bases.append((r["part"], total))
+        total += r["n"]
+    starts = docs.sparkSession.createDataFrame(bases, "part int, first long")
+    return manifest.join(F.broadcast(starts), "part").select("part", "seq", "name", "n_docs", "n_ids", (F.col("first") + F.col("before")).alias("base"))
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -197,5 +211,5 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     "ids_crc32": [zlib.crc32(held.document(k).astype("<u4")) for k in range(n)],
                 })
 
-    files = manifest.select("name", "base").repartition(max(1, manifest.count()), "name")
+    files = manifest.select("name", "base").repartition(max(1, min(manifest.count(), READ_PARTS)))
     return files.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
