@@ -2,21 +2,24 @@
 
 Pieces are first planned as counts of lengths, never one by one: a histogram has at most
 `capacity` entries, whatever the input. From the longest length down, the gap it leaves
-is looked up among single lengths, sums of pairs and sums of triples that are available,
-and a combination that fills it exactly is used as often as the counts allow. What has
-no exact complement is filled best-fit. The plan is a list of intervals of ranks, and a
+is looked up in an index of single, pair and triple lengths by their sum, and a combination
+that fills it exactly is used as often as the counts allow. What has no exact complement
+is filled best-fit. The plan is a list of intervals of ranks, and a
 piece finds its sequence from its length and its rank among pieces of that length.
 
 Ranks come from a range sort by (length, id, piece), so a length that a third of all
 pieces share is spread over many partitions.
 
-Defined results: null text is empty and holds only the end id, rows that repeat an id
-are packed each for itself, an empty table gives no rows.
+Defined results: null text is empty and holds only the end id; rows that repeat an id, or
+have none, are packed each for itself; texts of any length are cut into as many pieces as
+they need; an empty table gives no rows. Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,40 +47,53 @@ class Slot:
     times: int
 
 
-class _Counts:
+class Complements:
+    """Single lengths, pairs and triples by their sum, as long as counts last.
+
+    A gap's combinations are queued when it is first asked for, and leave the queue when
+    they have run out: counts only fall, and a gap always belongs to the same first length,
+    so one that does not fit now will never fit again.
+    """
+
     def __init__(self, histogram: dict[int, int], capacity: int):
-        self.n = np.zeros(capacity + 1, dtype=np.int64)
+        self.n, self.capacity = np.zeros(capacity + 1, dtype=np.int64), capacity
         for length, count in histogram.items():
             self.n[length] = count
+        self.by_sum: dict[int, list[Iterator[list[int]]]] = {}
 
     def fits(self, pattern: list[int]) -> int:
         """How often the pattern can be taken."""
         return min(int(self.n[x]) // pattern.count(x) for x in pattern)
 
-    def single(self, first: int, gap: int) -> list[int] | None:
-        return [gap] if self.fits([first, gap]) else None
-
-    def pair(self, first: int, gap: int, rest: tuple[int, ...] = ()) -> list[int] | None:
-        """The available pair with sum gap that has the longest piece."""
-        a = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
-        for k in np.flatnonzero((self.n[a] > 0) & (self.n[gap - a] > 0)):
-            if self.fits([first, *rest, int(a[k]), gap - int(a[k])]):
-                return [int(a[k]), gap - int(a[k])]
-        return None
-
-    def triple(self, first: int, gap: int) -> list[int] | None:
-        available = self.n > 0
-        for a in np.flatnonzero(available[: max(gap - 1, 0)])[::-1]:
-            if 3 * int(a) < gap:
-                break
-            if more := self.pair(first, gap - int(a), (int(a),)):
-                return [int(a), *more]
+    def _pairs(self, total: int) -> np.ndarray:
+        """Available a >= b with this sum, the longest a first."""
+        a = np.arange(total - 1, (total + 1) // 2 - 1, -1)
+        a = a[(self.n[a] > 0) & (self.n[total - a] > 0)]
+        return np.stack([a, total - a], axis=1)
+
+    def _triples(self, total: int) -> Iterator[list[int]]:
+        for a in range(total - 2, -(-total // 3) - 1, -1):
+            if self.n[a] > 0:
+                yield from ([a, *own] for own in self._pairs(total - a).tolist() if own[0] <= a)
+
+    def filling(self, gap: int) -> list[int] | None:
+        """A combination that fills the gap behind a piece of capacity - gap exactly."""
+        first = self.capacity - gap
+        if gap not in self.by_sum:
+            self.by_sum[gap] = [iter([[gap]]), iter(self._pairs(gap).tolist()), self._triples(gap)]
+        queues = self.by_sum[gap]
+        while queues:
+            for found in queues[0]:
+                if self.fits([first, *found]):
+                    queues[0] = itertools.chain([found], queues[0])  # it may fit again
+                    return found
+            queues.pop(0)
         return None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot], int]:
     """Slots for all counted pieces, and the number of sequences."""
-    counts = _Counts(histogram, capacity)
+    counts = Complements(histogram, capacity)
     used, slots, sequence = dict.fromkeys(histogram, 0), [], 0
 
     def take(pattern: list[int]) -> None:
@@ -97,8 +113,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot
             if not gap:
                 take([longest])
                 continue
-            found = next((x for find in (counts.single, counts.pair, counts.triple) if (x := find(longest, gap))), None)
-            if found:
+            if found := counts.filling(gap):
                 take([longest, *found])
                 continue
             pattern = [longest]
