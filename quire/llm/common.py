@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.scratch import scratch, shared_root, written  # noqa: F401  one place for them all
+from quire.sources.scratch import forget, scratch, shared_root, written  # noqa: F401  one place for them all
 
 #: ASCII white space as Java, RE2 and Python regexes all write it.
 ASCII_WS = r"[\x20\x09-\x0D]+"

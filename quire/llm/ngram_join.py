@@ -44,7 +44,7 @@ from .components import connected
 
 WORDS, PERCENT = 5, 75
 #: Shingles a mapper sorts at once; shingles of a shard and of a task, on average.
-FLUSH, SHARD_CELLS, TASK_CELLS = 3_000_000, 3_000_000, 1_500_000
+FLUSH, SHARD_CELLS, TASK_CELLS = 1_500_000, 3_000_000, 1_500_000
 #: Shingles of a component that is still one task's.
 GROUP_CELLS = 6_000_000
 #: Weight of a binary search against a merge step when the long lists are chosen.
@@ -156,23 +156,28 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         cells = np.concatenate([np.frombuffer(x, "<i8") for x in part["cells"]])
-        keys = np.concatenate([np.frombuffer(k, "<i8").reshape(-1, 2)[np.frombuffer(d, "<u2" if 2 * len(c) == 8 * len(d) else "<u4")] for c, d, k in zip(part["cells"], part["doc"], part["keys"], strict=True)])
+        keys = [np.frombuffer(k, "<i8").reshape(-1, 2) for k in part["keys"]]
+        first = np.cumsum([0, *map(len, keys)])
+        own = np.concatenate([np.frombuffer(d, "<u2" if 2 * len(c) == 8 * len(d) else "<u4").astype(np.int32) + np.int32(at) for c, d, at in zip(part["cells"], part["doc"], first, strict=False)])
+        keys, same_class = np.unique(np.concatenate(keys), axis=0, return_inverse=True)  # a class may come from several mappers
         order = np.argsort(cells, kind="stable")
         cells = cells[order]
         more = np.zeros(len(cells), bool)
         same = cells[1:] == cells[:-1]
         more[1:] = same
         more[:-1] |= same
-        cells, keys = cells[more], keys[order][more]
-        order = np.lexsort((keys[:, 1], keys[:, 0], cells))
-        cells, keys = cells[order], keys[order]
+        cells, own = cells[more], same_class.ravel().astype(np.int32)[own[order[more]]]
+        order = np.lexsort((own, cells))
+        cells, own = cells[order], own[order]
         fresh = np.ones(len(cells), bool)  # one of each (cell, class)
-        fresh[1:] = (cells[1:] != cells[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)
-        cells, keys = cells[fresh], keys[fresh]
-        _, at, df = np.unique(cells, return_inverse=True, return_counts=True)
-        df = df[at] if len(cells) else np.zeros(0, np.int64)
+        fresh[1:] = (cells[1:] != cells[:-1]) | (own[1:] != own[:-1])
+        cells, own = cells[fresh], own[fresh]
+        starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(cells)))
+        df = np.repeat(counts, counts)
         kept = df > 1
-        return pd.DataFrame({"high": keys[kept, 0], "low": keys[kept, 1], "cell": cells[kept], "df": df[kept]})
+        cells, own = cells[kept], own[kept]
+        return pd.DataFrame({"high": keys[own, 0], "low": keys[own, 1], "cell": cells, "df": df[kept]})
 
     lists = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(post, "shard int, cells binary, doc binary, keys binary")
     return lists.groupBy("shard").applyInPandas(count, "high long, low long, cell long, df long")
@@ -292,12 +297,15 @@ def links_of(docs: DataFrame, rows: DataFrame, text: str = "text", words: int =
     sizes = common.written(sizes, "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_CELLS))
-    shared = _with_enough(common.written(shared_shingles(docs, text, words, shards), "shared"), sizes, percent)
-    shared = common.written(shared, "shared-enough")
-    again = common.join_unique(shared, shared.groupBy("cell").agg(F.count(F.lit(1)).alias("left")).where("left > 1"), "cell").drop("left")
-    left = _with_enough(common.written(again, "shared-again"), sizes, percent)
+    every = common.written(shared_shingles(docs, text, words, shards), "shared")
+    shared = common.written(_with_enough(every, sizes, percent), "shared-enough")
+    common.forget(every)
+    again = common.written(common.join_unique(shared, shared.groupBy("cell").agg(F.count(F.lit(1)).alias("left")).where("left > 1"), "cell").drop("left"), "shared-again")
+    common.forget(shared)
+    left = _with_enough(again, sizes, percent)
     by_class = left.groupBy(*CLASS).agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("items")).join(sizes, CLASS)
     sets = common.written(by_class.withColumn("key", F.monotonically_increasing_id()), "sets")  # from here on classes have numbers
+    common.forget(again)
     # n - size(items) shingles are in no other list and come first in the order
     first = F.col("n") - _needed(F.col("n"), percent) + 1 - (F.col("n") - F.size("items"))
     heads = sets.select("key", F.explode(F.slice("items", 1, first.cast("int"))).alias("item")).select("key", F.col("item.cell").alias("cell"))
