@@ -6,12 +6,14 @@ single characters, in each case the mean of their log frequencies. A text's lang
 the one with the largest sum over all its words.
 
 The model is fitted on a bounded sample of labelled rows, TRAIN_PER_LANG of each language
-in expectation, taken by a hash of the id; words and n-grams beyond the most frequent
-MAX_WORDS and MAX_GRAMS are left to the next shorter n-gram, so the broadcast model is
-bounded whatever the corpus.
+in expectation, taken by a hash of the id. All words and n-grams of the sample are kept,
+so the size of the broadcast model is bounded by that of the sample.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is
-every text if nothing could be learned. Ties go to the first language in byte order.
+every text if nothing could be learned. Ties go to the first language in byte order. Rows
+that repeat an id are learned and judged each for itself. Texts of any length are read
+whole. An empty table gives no rows. Extra columns pass through, whatever their names; the
+names of the results must not be among them.
 """
 
 from __future__ import annotations
@@ -21,18 +23,16 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_PER_LANG = 1_000
-MAX_WORDS, MAX_GRAMS = 100_000, 150_000
+TRAIN_PER_LANG = 150
 LONGEST = 5
 #: Words a worker keeps scored.
-CACHE_WORDS = 300_000
-#: Words whose evidence the score counts at most; the choice counts all.
-SCORE_WORDS = 20
+CACHE_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -98,31 +98,35 @@ class Model:
         at = [i if (i := get(w)) is not None else row(w) for w in words]
         total = self.rows[at].sum(axis=0)
         best = int(total.argmax())
-        odds = (total - total[best]) / len(words) * min(len(words), SCORE_WORDS)
-        return self.langs[best], float(1 / np.exp(odds).sum())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def fit(train: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     """train: doc_id, text, lang. Rows without a language are left out."""
     train = train.where(F.col("lang").isNotNull())
-    found = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, per_lang / n))]) if found else F.lit(None)
+    found = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = train.where(draw < share[F.col("lang")]) if found else train.limit(0)
-    langs = sorted(found)
+    sample = train.join(F.broadcast(found), "lang").where(draw < F.lit(per_lang) / F.col("n"))  # a row for each language
+    langs = sorted(r["lang"] for r in found.collect())
     kinds = "kind int, lang string, item string, n long"
     counts = common.written(sample.select("lang", "text").mapInPandas(_counts, kinds), "language-counts")
-    per_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
-    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), *per_lang).where("n > 1")
-    totals = counts.groupBy("kind").agg(F.count(F.lit(1)), *per_lang).toPandas().set_index("kind")
-    columns, table, known = [f"n{k}" for k in range(len(langs))], [np.zeros((0, len(langs)))], []
-    for kept in (items.where("kind = 0").orderBy(F.desc("n"), "item").limit(MAX_WORDS), items.where("kind > 0").orderBy(F.desc("n"), "kind", "item").limit(MAX_GRAMS)):
-        part = kept.toPandas()  # bounded by MAX_WORDS and MAX_GRAMS
-        first = sum(map(len, table))
-        known.append(dict(zip(part["item"], range(first, first + len(part)), strict=True)))
-        if len(part):
-            table.append(np.log((part[columns].to_numpy() + 0.5) / (totals.loc[part["kind"], columns].to_numpy() + 1)))
-    return Model(langs, np.concatenate(table), *known)
+    sums = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
+    rows = sums.toArrow().combine_chunks()  # what is counted in the sample
+    item, own = (rows[c].combine_chunks().dictionary_encode() for c in ("item", "lang"))
+    kind, n = rows["kind"].to_numpy(), rows["n"].to_numpy()
+    known = {x: k for k, x in enumerate(langs)}
+    lang = np.array([known[x] for x in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()]
+    distinct, items = np.unique(kind.astype(np.int64) * len(item.dictionary) + item.indices.to_numpy(), return_inverse=True)
+    of_kind = distinct // max(len(item.dictionary), 1)
+    totals = np.ones((LONGEST + 1, len(langs)))  # items of a kind, and one
+    np.add.at(totals, (kind, lang), n)
+    totals += np.bincount(of_kind, minlength=LONGEST + 1)[:, None] / 2
+    table = np.full((len(distinct), len(langs)), 0.5)
+    table[items, lang] += n
+    table = np.log(table / totals[of_kind]).astype(np.float32)
+    names = item.dictionary.take(pa.array(distinct % max(len(item.dictionary), 1))).to_pylist()
+    n_words = int((of_kind == 0).sum())  # words come first
+    return Model(langs, table, dict(zip(names[:n_words], range(n_words), strict=True)), dict(zip(names[n_words:], range(n_words, len(names)), strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -132,12 +136,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def score(frames):
-        import pyarrow as pa
-
         own = shared.value  # a worker's tasks share the words it has scored
         for batch in frames:
             got = [own.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*columns, *names])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(score, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+    return docs.select(*columns, F.col(text).alias(common.unused(columns, "_text"))).mapInArrow(score, f"{kinds}, `{names[0]}` string, `{names[1]}` double")

@@ -33,8 +33,8 @@ _RUNS = "  | \n|\n\n|[" + WHITE.replace(" ", "").replace("\n", "") + "]"
 _WIDE = "[" + "".join(c for c in WHITE if c > "\x7f") + "]"
 
 #: Parts of a generation, and their characters.
-CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 16_000_000
-GROUP_CHARS = 16_000_000
+CACHE_CHUNKS, CACHE_CHARS = 400_000, 6_000_000
+GROUP_CHARS = 4_000_000
 
 #: No pre-token has one of these letters or digits with ASCII punctuation behind it (one
 #: letter is left out: its lower case ends in a mark).
