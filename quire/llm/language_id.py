@@ -123,7 +123,7 @@ def fit(train: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     totals += np.bincount(of_kind, minlength=LONGEST + 1)[:, None] / 2
     table = np.full((len(distinct), len(langs)), 0.5)
     table[items, lang] += n
-    table = np.log(table / totals[of_kind]).astype(np.float32)
+    table = np.log(table / totals[of_kind])
     names = item.dictionary.take(pa.array(distinct % max(len(item.dictionary), 1))).to_pylist()
     n_words = int((of_kind == 0).sum())  # words come first
     return Model(langs, table, dict(zip(names[:n_words], range(n_words), strict=True)), dict(zip(names[n_words:], range(n_words, len(names)), strict=True)))
