@@ -37,7 +37,7 @@ def _packages(df: DataFrame, doc_id: str, body: Column, **parts: str | Column) -
     own = {"word/document.xml": _x(f"<w:document {NS}><w:body>", body, "</w:body></w:document>")}
     own |= {name.replace("___", "/").replace("__", "."): _x(x) for name, x in parts.items()}
     made = F.array(*[F.struct(F.lit(name).alias("name"), x.alias("text")) for name, x in own.items()])
-    return packages.from_parts(df.select(F.col(doc_id).alias("doc_id"), made.alias("parts")))
+    return packages.from_parts(packages.spread(df).select(F.col(doc_id).alias("doc_id"), made.alias("parts")))
 
 
 def _inside(rendered: DataFrame, tag: str, name: str) -> DataFrame:
@@ -296,8 +296,8 @@ def docx_heading_levels(spark, sf_dir):
         _p(_text("a"), props=_x('<w:outlineLvl w:val="', z - 1, '"/>')), _p(_text("a"), props=styled("Heading2", '<w:jc w:val="both"/>')),
         _p(_text("0123456789"), _text(F.expr("repeat('€', p_size)")), props=styled("Heading4")), _p(_text("a"), props=styled("Lined")),
     )
-    blocks = packages.blocks(_packages(read(spark, sf_dir, "part"), "p_partkey", body, word___styles__xml=styles))
-    return blocks.select("doc_id", "block_seq", "heading_level")
+    made = _packages(read(spark, sf_dir, "part"), "p_partkey", body, word___styles__xml=styles)
+    return packages.blocks(made, columns=("block_seq", "heading_level")).select("doc_id", "block_seq", "heading_level")
 
 
 @query("""

@@ -12,8 +12,9 @@ itself; an empty table gives no rows; extra columns are not looked at.
 
 from __future__ import annotations
 
-import io
-import zipfile
+import struct
+import zlib
+from itertools import accumulate
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -60,6 +61,10 @@ TABLES = {
     "rels": "rid string, target string",
     "defaults": "family string, font_ea string, font_cs string, size_pt double, color string",
 }
+#: Bytes of the largest part and package that are made: beyond, a ZIP file has 64-bit sizes.
+_LARGEST = 2**31 - 1
+#: Rows whose packages are made and read in one task.
+TASK_ROWS = 2_000
 #: Bytes of packages whose rows are held at once.
 BATCH_BYTES = 4_000_000
 
@@ -71,6 +76,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a narrow table over as many partitions as their packages keep busy: Spark cuts files
+    by bytes and row groups, so a few megabytes, or millions of rows, would be one task's."""
+    n = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(n) if n > 1 else rows
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (a hash of the path), path, content of the .docx files below a path."""
     prepare(spark)
@@ -101,12 +113,21 @@ def write_files(packages: DataFrame, folder: str) -> DataFrame:
 
 
 def package(parts: dict[str, str]) -> bytes:
-    """A ZIP package of named parts, the same bytes for the same parts."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text)
-    return out.getvalue()
+    """A ZIP package of named parts, the same bytes for the same parts: those that zipfile
+    writes, stored, for entries of Unix from 1 January 1980."""
+    out, entries, at = [], [], 0
+    for name, text in parts.items():
+        raw, data = name.encode(), text.encode()
+        if len(data) > _LARGEST or len(raw) > 0xFFFF:
+            raise ValueError(f"part {name[:99]} is too large")
+        about = struct.pack("<5H3L2H", 20, 0 if name.isascii() else 0x800, 0, 0, 33, zlib.crc32(data), len(data), len(data), len(raw), 0)
+        out += [b"PK\3\4", about, raw, data]
+        entries += [b"PK\1\2", struct.pack("<2B", 20, 3), about, struct.pack("<3H2L", 0, 0, 0, 0o600 << 16, at), raw]
+        at += 30 + len(raw) + len(data)
+    if at > _LARGEST or len(parts) >= 0xFFFF:
+        raise ValueError("the package is too large")
+    directory = b"".join(entries)
+    return b"".join((*out, directory, b"PK\5\6", struct.pack("<4H2LH", 0, 0, len(parts), len(parts), len(directory), at, 0)))
 
 
 def document_part(body: str) -> str:
@@ -176,12 +197,15 @@ def _stories(doc):
             yield n.type, n.id, n.body
 
 
+_NONE_OF_MORE = ("",) * len(MORE)
+
+
 def _block_rows(doc):
     for story, k, own in _stories(doc):
         for seq, b in enumerate(own):
             yield (
                 story, k, seq, b.kind, b.style_id, b.style_name, b.num_id, b.level, b.heading, b.align, b.quote, b.code, b.plain, *b.spacing, *b.indent,
-                _stops(b.tabs), b.lang, _sides(b.borders), *(b.more.get(name, "") for name in MORE), b.id,
+                _stops(b.tabs) if b.tabs else [], b.lang, _sides(b.borders) if b.borders else [], *([b.more.get(name, "") for name in MORE] if b.more else _NONE_OF_MORE), b.id,
             )
 
 
@@ -235,13 +259,27 @@ _ROWS = {
 }
 
 
-def parsed(packages: DataFrame, tables: tuple[str, ...] = tuple(TABLES), mode: str = "semantic", compat: bool = True) -> DataFrame:
+def _lists(rows: list[list[tuple]], kind, picked: list[int]):
+    """The rows of each package as an Arrow array of lists of structs with the picked columns."""
+    import pyarrow as pa
+
+    flat, ends = [row for own in rows for row in own], [0, *accumulate(map(len, rows))]
+    fields = list(kind.value_type)
+    structs = pa.StructArray.from_arrays([pa.array([row[k] for row in flat], field.type) for k, field in zip(picked, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs, type=kind)
+
+
+def parsed(packages: DataFrame, tables: tuple[str, ...] = tuple(TABLES), mode: str = "semantic", compat: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per package, parsed once: doc_id, error (null if it could be read), and each
-    asked table as an array of its rows. Write it to take several tables from one parse."""
+    asked table as an array of its rows. Write it to take several tables from one parse.
+    columns: of the tables, only these are handed on, if any are named."""
     prepare(packages.sparkSession)
-    fields = {name: StructType.fromDDL(TABLES[name]) for name in tables}
+    whole = {name: StructType.fromDDL(TABLES[name]) for name in tables}
+    fields = {name: StructType([x for x in struct if not columns or x.name in columns]) for name, struct in whole.items()}
+    if any(not struct.fields for struct in fields.values()) or not {x.name for struct in fields.values() for x in struct} >= set(columns):
+        raise ValueError(f"not all of {columns} are columns of {tables}")
     schema = "doc_id long, error string" + "".join(f", {name} array<{struct.simpleString()}>" for name, struct in fields.items())
-    names = {name: struct.names for name, struct in fields.items()}
+    names = {name: [whole[name].names.index(x) for x in struct.names] for name, struct in fields.items()}
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -252,7 +290,8 @@ def parsed(packages: DataFrame, tables: tuple[str, ...] = tuple(TABLES), mode: s
         def flush():
             nonlocal ids, errors, rows, size
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind.type) for x, kind in zip((ids, errors, *rows.values()), kinds, strict=True)], schema=kinds)
+                own = [_lists(rows[name], kinds.field(name).type, picked) for name, picked in names.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(errors, pa.string()), *own], schema=kinds)
             ids, errors, rows, size = [], [], {name: [] for name in names}, 0
 
         for batch in batches:
@@ -264,8 +303,8 @@ def parsed(packages: DataFrame, tables: tuple[str, ...] = tuple(TABLES), mode: s
                     doc, error = None, str(e)
                 ids.append(i)
                 errors.append(error)
-                for name, columns in names.items():
-                    rows[name].append([dict(zip(columns, row, strict=True)) for row in _ROWS[name](doc)] if doc else [])
+                for name, own in rows.items():
+                    own.append(list(_ROWS[name](doc)) if doc else [])
                 size += len(content or b"")
                 if size >= BATCH_BYTES:
                     yield from flush()
@@ -284,9 +323,9 @@ def errors(packages: DataFrame) -> DataFrame:
     return parsed(packages, ()).where("error is not null").select("doc_id", F.lit("parse").alias("stage"), "error")
 
 
-def blocks(packages: DataFrame, mode: str = "semantic", compat: bool = True) -> DataFrame:
-    """Blocks of all stories in order; blocks of table cells are in cells()."""
-    return table(parsed(packages, ("blocks",), mode, compat), "blocks")
+def blocks(packages: DataFrame, mode: str = "semantic", compat: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of all stories in order, with all columns or those named; blocks of table cells are in cells()."""
+    return table(parsed(packages, ("blocks",), mode, compat, columns), "blocks")
 
 
 def runs(packages: DataFrame, mode: str = "semantic", compat: bool = True) -> DataFrame:
@@ -345,10 +384,13 @@ def from_parts(parts: DataFrame) -> DataFrame:
     prepare(parts.sparkSession)
 
     def make(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [package({x["name"]: x["text"] or "" for x in own}) for own in batch["parts"]]})
+            made = [package({x["name"]: x["text"] or "" for x in own}) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
 
-    return parts.select(F.col("doc_id").cast("long").alias("doc_id"), "parts").mapInPandas(make, "doc_id long, content binary")
+    return parts.select(F.col("doc_id").cast("long").alias("doc_id"), "parts").mapInArrow(make, "doc_id long, content binary")
 
 
 class DocxBlocks:

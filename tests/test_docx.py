@@ -174,3 +174,49 @@ def test_verifier_on_broken_input():
     assert verify(" ")[1] == ["empty input"]
     assert any("parse error" in e for e in verify("<words><write>")[1])
     assert 'version must be "1.2.0", got "2"' in verify(HEAD.format("").replace("1.2.0", "2"))[1]
+
+
+def test_templates_are_read_once_and_left_as_they_are():
+    style = lambda i, name, more="": f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{name}"/>{more}</w:style>'
+    stops = '<w:pPr><w:outlineLvl w:val="1"/><w:tabs><w:tab w:pos="720"/></w:tabs></w:pPr>'
+    one, two = (f'<w:styles xmlns:w="{NS}">{style("S", name, more)}</w:styles>' for name, more in (("Quote", ""), ("Other", stops)))
+    own = p(t("x"), '<w:pStyle w:val="S"/><w:tabs><w:tab w:pos="1440"/><w:tab w:pos="720" w:val="clear"/></w:tabs>')
+    read = lambda styles, body: docx.read(package({"word/document.xml": document_part(body), "word/styles.xml": styles}))
+    for styles, heading, quote, tabs in ((one, 0, True, []), (two, 2, False, [0.5]), (one, 0, True, []), (two, 2, False, [0.5])):
+        doc = read(styles, own + p(t("y"), '<w:pStyle w:val="S"/>'))
+        assert [(b.heading, b.quote, [x[0] for x in b.tabs]) for b in doc.body] == [(heading, quote, [1.0]), (heading, quote, tabs)]
+    assert read(one, own).styles["S"] is read(one, own).styles["S"]
+    assert not read("<w:styles", own).styles
+
+
+def test_archives_are_written_and_read_as_by_zipfile():
+    import io
+    import zipfile
+
+    parts = {"word/document.xml": document_part(p(t("é"))), "wörd/ä.xml": "ü", "word/styles.xml": "", "word/header1.xml": "<h/>"}
+
+    def by_zipfile(method=zipfile.ZIP_STORED, comment=b""):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in parts.items():
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, compress_type=method)
+            z.comment = comment
+        return out.getvalue()
+
+    plain = by_zipfile()
+    assert package(parts) == plain
+    known = {"document": parts["word/document.xml"].encode(), "styles": b""}, {"word/header1.xml": b"<h/>"}
+    for content in (plain, by_zipfile(zipfile.ZIP_DEFLATED), by_zipfile(zipfile.ZIP_BZIP2), by_zipfile(comment=b"c"), b"before" + plain):
+        assert docx.unpack(content) == known
+    damaged = bytearray(plain)
+    damaged[plain.index(b"<h/>") + 1] ^= 1  # its sum is wrong: the part counts as absent
+    assert docx.unpack(bytes(damaged)) == (known[0], {})
+    with pytest.raises(docx.PackageError):
+        docx.unpack(plain[:-1])
+
+
+def test_deep_nesting_is_an_error_with_and_without_notes():
+    for more in ("", '<w:bookmarkStart w:id="1" w:name="b"/>'):
+        body = more + "<w:x>" * 1500 + "</w:x>" * 1500
+        with pytest.raises(docx.PackageError, match="nested too deeply"):
+            docx.read(package({"word/document.xml": document_part(body)}))

@@ -1,5 +1,7 @@
 """Packages as rows: errors, batches from files and streams, partitions that do not matter."""
 
+import pytest
+
 from quire.plans import catalogue
 from quire.sources import packages
 from quire.streaming import ingest
@@ -57,3 +59,24 @@ def test_partitions_do_not_matter(spark):
 
 def test_entry_has_rows(spark):
     assert catalogue.document_outline(spark, "/root/testdata/sf0.001").limit(1).count() == 1
+
+
+def test_small_files_of_many_packages_keep_all_cores_busy(spark, tmp_path):
+    """The file of 5,000 rows is one split; their packages are tasks of at most TASK_ROWS."""
+    rows = spark.range(5000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size")
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert spark.read.parquet(str(tmp_path / "part.parquet")).rdd.getNumPartitions() == 1
+    got = catalogue.QUERIES["docx_heading_levels"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == -(-5000 // packages.TASK_ROWS)
+    assert got.count() == 8 * 5000 and got.select("doc_id").distinct().count() == 5000
+
+
+def test_only_asked_columns_are_handed_on(spark):
+    rows = _rows(spark, packages.package({"word/document.xml": packages.document_part("<w:p/><w:p><w:pPr><w:pStyle w:val='Heading2'/></w:pPr></w:p>")}), b"x")
+    parsed = packages.parsed(rows, ("blocks",), columns=("block_seq", "heading_level"))
+    assert parsed.schema["blocks"].dataType.elementType.names == ["block_seq", "heading_level"]
+    assert sorted(map(tuple, packages.table(parsed, "blocks").collect())) == [(0, 0, 0), (0, 1, 2)]
+    whole = packages.blocks(rows)
+    assert sorted(map(tuple, whole.select("doc_id", "block_seq", "heading_level").collect())) == [(0, 0, 0), (0, 1, 2)]
+    with pytest.raises(ValueError):
+        packages.parsed(rows, ("blocks",), columns=("absent",))
