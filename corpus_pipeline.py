@@ -11,6 +11,7 @@ keep the first row of a group, packing places every piece. An empty table gives
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     except AnalysisException:
         return common.written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     file = common.unused([*docs.columns, name], "_file")
-    files = docs.sparkSession.createDataFrame(list(enumerate(sorted(paths))), f"`{name}` long, `{file}` string")
+    files = common.small_table(docs.sparkSession, {name: pa.array(range(len(paths)), pa.int64()), file: pa.array(sorted(paths), pa.string())})
     placed = docs.select("*", path.alias(file), row.alias(f"{file}_row"))
     return placed.join(F.broadcast(files), file).withColumn(name, F.shiftleft(name, 40) + F.col(f"{file}_row")).select(*docs.columns, name)
 

@@ -128,6 +128,7 @@ def build_history(distinct: DataFrame, shards: int) -> DataFrame:
     """distinct: digest, winner, copies, one row per digest. One row per shard."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
+        common.alone("exact_dedup")
         keys = _words(list(part["digest"]))
         mph = PerfectHash.build(keys)
         order = np.argsort(mph.slots(keys))
@@ -148,6 +149,7 @@ def lookup(probes: DataFrame, history: DataFrame, shards: int) -> DataFrame:
     probes: digest, no_id, doc_id, row_id (the row that stays), copies."""
 
     def settle(part: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        common.alone("exact_dedup")
         keys = _words(list(part["digest"]))
         own = pd.DataFrame({"digest": part["digest"], "no_id": part["no_id"], "doc_id": part["doc_id"].astype("Int64"), "row_id": part["row_id"], "copies": part["copies"]})
         if not len(index):

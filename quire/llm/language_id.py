@@ -48,6 +48,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 def _counts(frames):
     """(kind, lang, item, n) of a partition; kind 0 is a word, else the n-gram's length."""
+    common.alone("language_id")
     words: dict[str, Counter] = {}
     for frame in frames:
         for lang, text in zip(frame["lang"], frame["text"], strict=True):
@@ -136,6 +137,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def score(frames):
+        common.alone("language_id")
         own = shared.value  # a worker's tasks share the words it has scored
         for batch in frames:
             got = [own.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]

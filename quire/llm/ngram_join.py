@@ -45,6 +45,8 @@ from .components import connected
 WORDS, PERCENT = 5, 75
 #: Shingles a mapper sorts at once; shingles of a shard and of a task, on average.
 FLUSH, SHARD_CELLS, TASK_CELLS = 1_500_000, 3_000_000, 1_500_000
+#: Parts of a shard that are sorted one after the other, a power of two.
+PASSES = 4
 #: Shingles of a component that is still one task's.
 GROUP_CELLS = 6_000_000
 #: Weight of a binary search against a merge step when the long lists are chosen.
@@ -101,6 +103,7 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, words: int, place: str |
     """doc_id, row_id (the row's place), n_shingles, high, low per row."""
 
     def run(batches):
+        common.alone("ngram_join")
         of = Shingles(words)
         for batch in batches:
             rows = []
@@ -118,6 +121,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
     """high, low, cell (the hash), df: shingles that occur in at least two classes, with each class that has them."""
 
     def post(batches):
+        common.alone("ngram_join")
         of, sets, keys, seen, n = Shingles(words), [], [], set(), 0
 
         def flush():
@@ -155,18 +159,30 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         yield from flush()
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        cells = np.concatenate([np.frombuffer(x, "<i8") for x in part["cells"]])
+        common.alone("ngram_join")
+        cells = [np.frombuffer(x, "<i8") for x in part["cells"]]
         keys = [np.frombuffer(k, "<i8").reshape(-1, 2) for k in part["keys"]]
         first = np.cumsum([0, *map(len, keys)])
-        own = np.concatenate([np.frombuffer(d, "<u2" if 2 * len(c) == 8 * len(d) else "<u4").astype(np.int32) + np.int32(at) for c, d, at in zip(part["cells"], part["doc"], first, strict=False)])
+        own = [np.frombuffer(d, "<u2" if 2 * len(c) == len(d) else "<u4") for c, d in zip(cells, part["doc"], strict=True)]
         keys, same_class = np.unique(np.concatenate(keys), axis=0, return_inverse=True)  # a class may come from several mappers
+        same_class = same_class.ravel().astype(np.int32)
+        found = []
+        for k in range(PASSES):
+            at = [np.flatnonzero(c & (PASSES - 1) == k) for c in cells]
+            found.append(shared([c[x] for c, x in zip(cells, at, strict=True)], [same_class[d[x] + np.int64(base)] for d, x, base in zip(own, at, first, strict=False)]))
+        cells, own, df = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"high": keys[own, 0], "low": keys[own, 1], "cell": cells, "df": df})
+
+    def shared(cells: list[np.ndarray], own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of more than one class, their classes, and how many classes have each."""
+        cells, own = np.concatenate(cells), np.concatenate(own)
         order = np.argsort(cells, kind="stable")
         cells = cells[order]
         more = np.zeros(len(cells), bool)
         same = cells[1:] == cells[:-1]
         more[1:] = same
         more[:-1] |= same
-        cells, own = cells[more], same_class.ravel().astype(np.int32)[own[order[more]]]
+        cells, own = cells[more], own[order[more]]
         order = np.lexsort((own, cells))
         cells, own = cells[order], own[order]
         fresh = np.ones(len(cells), bool)  # one of each (cell, class)
@@ -176,8 +192,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, shards: int) -> Data
         counts = np.diff(np.append(starts, len(cells)))
         df = np.repeat(counts, counts)
         kept = df > 1
-        cells, own = cells[kept], own[kept]
-        return pd.DataFrame({"high": keys[own, 0], "low": keys[own, 1], "cell": cells, "df": df[kept]})
+        return cells[kept], own[kept], df[kept]
 
     lists = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(post, "shard int, cells binary, doc binary, keys binary")
     return lists.groupBy("shard").applyInPandas(count, "high long, low long, cell long, df long")
@@ -264,6 +279,7 @@ class DivideSkip:
 
 def _search_task(percent: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        common.alone("ngram_join")
         part = part.sort_values(["side", "n", "key"]).reset_index(drop=True)
         index = DivideSkip([np.asarray(x, dtype=np.int64) for x in part["cells"]], part["n"].to_numpy(), percent)
         cross, side = bool(part["cross"].iloc[0]), part["side"].to_numpy()

@@ -14,7 +14,6 @@ full it becomes the old one, and what is still used moves on.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 
@@ -227,6 +226,5 @@ class ChunkEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, keeps_space: bool) -> ChunkEncoder:
-    return ChunkEncoder(path, keeps_space)
+    return common.alone(f"encoder {path} {keeps_space}", lambda: ChunkEncoder(path, keeps_space))

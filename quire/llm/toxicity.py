@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     are learned, as many as have TRAIN_FEATURES features together, by the same hash of the id."""
 
     def features(frames):
+        common.alone("toxicity")
         of = Features()
         for frame in frames:
             at = [of(x) for x in frame["text"]]
@@ -119,8 +121,8 @@ def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     sizes = sorted(((r["doc_id"] * 0x9E3779B1) % 2**32, r["doc_id"], r["n"]) for r in made.select("doc_id", "n").collect())  # TRAIN_DOCS rows of two numbers
     total = np.cumsum([n for *_, n in sizes])
     if len(sizes) and total[-1] > TRAIN_FEATURES:
-        some = [(i,) for (_, i, _), n in zip(sizes, total, strict=True) if n <= TRAIN_FEATURES]
-        made = made.join(F.broadcast(docs.sparkSession.createDataFrame(some, "doc_id long")), "doc_id", "left_semi")
+        some = [i for (_, i, _), n in zip(sizes, total, strict=True) if n <= TRAIN_FEATURES]
+        made = made.join(F.broadcast(common.small_table(docs.sparkSession, {"doc_id": pa.array(some, pa.int64())})), "doc_id", "left_semi")
     rows = made.select("doc_id", "label", "at").toArrow().combine_chunks()
     if not len(rows):
         return np.zeros(0, np.uint32), np.zeros(0), 0.0
@@ -155,8 +157,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def run(batches):
-        import pyarrow as pa
-
+        common.alone("toxicity")
         of, (known, weights, bias) = Features(), shared.value
         for batch in batches:
             sums = np.array([weights[_places(known, of(x))].sum() for x in batch.column(batch.num_columns - 1).to_pylist()]) + bias
